@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptloom.llm.chat import chat_digest
 from scriptloom.llm.common import LOWER, UPPER, table
 from scriptloom.llm.exact_dedup import exact_dedup
 from scriptloom.llm.line_dedup import line_dedup
+from scriptloom.llm.media import media_features
+from scriptloom.llm.packing import best_fit_packing
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def conversation_log(conversations: DataFrame) -> DataFrame:
+    """The rows of conversations as a log. Every third message arrives in two deltas, every third is drafted and
+    regenerated, every third is begun and then edited; the outcome is always the row's text. Rows that share a turn
+    are messages of their own, ordered by role and text."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.char_length(text) / 2
+    head, tail = F.substring(text, F.lit(1), half.cast("int")), F.substring(text, half.cast("int") + 1, F.char_length(text))
+    steps = {
+        0: [("open", ""), ("delta", head), ("delta", tail)],
+        1: [("open", ""), ("delta", "draft"), ("regenerate", ""), ("delta", head), ("delta", tail)],
+        2: [("open", ""), ("delta", head), ("edit", text)],
+    }
+
+    def log(way):
+        return F.array(*[F.struct(F.lit(i).cast("long").alias("step"), F.lit(kind).alias("kind"), (F.lit(p) if isinstance(p, str) else p).alias("payload")) for i, (kind, p) in enumerate(steps[way])])
+
+    way = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3))
+    alike = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("alt", F.row_number().over(alike).cast("long"))
+    events = rows.withColumn("e", F.explode(F.when(way == 0, log(0)).when(way == 1, log(1)).otherwise(log(2))))
+    order = F.array(F.coalesce("turn", F.lit(-(2**63))).cast("long"), F.col("alt"), F.col("e.step"))
+    return events.select("conv_id", "turn", "alt", order.alias("seq"), "e.kind", "role", "e.payload")
+
+
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "conv_id long, turn long, role string, text string"
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], columns)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_digest(conversation_log(rows))
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +87,16 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END
 FROM j GROUP BY doc_id
 """
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op3_media": op3_media,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLES = {
