@@ -187,19 +187,21 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     small_arrow_batches(df.sparkSession)
 
     def cut(batches):
+        from scriptloom.llm.textnum import blocks
         from scriptloom.llm.wordtokens import WordTokens
 
         tokens, end = WordTokens.shared(tokenizer_path), int(end_id).to_bytes(4, "little")
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for doc_id, data in zip(ids, tokens.encode(texts), strict=True):
-                data += end
-                n = len(data) // 4
-                rows += [(doc_id, p, s, min(capacity, n - s), zlib.crc32(data[4 * s : 4 * (s + capacity)])) for p, s in enumerate(range(0, n, capacity))]
-            for i in range(0, len(rows), 65_536):
-                columns = zip(*rows[i : i + 65_536], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            names = batch.column(0).to_pylist()
+            for row, data, offsets in blocks(batch.column(1)):
+                ids, counts = tokens.encode(data, offsets)
+                raw, at, rows = ids.tobytes(), 0, []
+                for doc_id, count in zip(names[row : row + len(counts)], counts.tolist(), strict=True):
+                    own, n = raw[at : at + 4 * count] + end, count + 1
+                    at += 4 * count
+                    rows += [(doc_id, p, s, min(capacity, n - s), zlib.crc32(own[4 * s : 4 * (s + capacity)])) for p, s in enumerate(range(0, n, capacity))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInArrow(cut, PIECES)
