@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import small_arrow_batches
+from scriptloom.llm.common import ready_python
 
 #: The template: marker, role, end of role, text, end of turn.
 TURN, ROLE_END, TURN_END = "### ", "</role>\n", "</turn>\n"
@@ -59,7 +59,7 @@ def unescape(text: str) -> str:
 def render(messages: DataFrame, part_chars: int = 65_536, loss_role: str = "assistant") -> DataFrame:
     """Rows (conv_id, part, formatted, loss): a conversation's parts joined are its formatted text, ``loss`` has the
     (start, end) of the text that counts for the loss in its part. A part ends after the turn that fills it."""
-    small_arrow_batches(messages.sparkSession)
+    ready_python(messages.sparkSession)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def flush(rows):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +47,21 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what a Python worker holds at once: batches have at most this many (possibly long) texts."""
+_SHIPPED: set[str] = set()
+
+
+def ready_python(spark: SparkSession, rows: int = 512) -> None:
+    """Before Python stages: bounds what a worker holds at once (batches of at most ``rows`` possibly long texts) and
+    sends the package to the executors, which need not have it on their path."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import small_arrow_batches
+from scriptloom.llm.common import ready_python
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -187,7 +187,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def _over_texts(df: DataFrame, id_col: str, text_col: str, schema: str, names: list[str], types: list, rows_of) -> DataFrame:
-    small_arrow_batches(df.sparkSession)
+    ready_python(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -218,7 +218,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "clip", "first_frame", "n_frames", "start_s", "end_s"])
 
-    small_arrow_batches(media.sparkSession)
+    ready_python(media.sparkSession)
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, clip int, first_frame long, n_frames long, start_s double, end_s double")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import small_arrow_batches, stored
+from scriptloom.llm.common import ready_python, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -184,7 +184,7 @@ class Slots:
 
 def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of PIECES; the ids of a document are its text's, then ``end_id``."""
-    small_arrow_batches(df.sparkSession)
+    ready_python(df.sparkSession)
 
     def cut(batches):
         from scriptloom.llm.textnum import blocks

@@ -11,6 +11,8 @@ from scriptloom.llm.exact_dedup import exact_dedup
 from scriptloom.llm.line_dedup import line_dedup
 from scriptloom.llm.media import media_features
 from scriptloom.llm.packing import best_fit_packing
+from scriptloom.llm.quality import quality
+from scriptloom.llm.toxicity import toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -57,6 +59,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -87,6 +93,10 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END
 FROM j GROUP BY doc_id
 """
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -94,8 +104,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_media": op3_media,
+    "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
 }
 
