@@ -10,6 +10,7 @@ from scriptloom.llm.common import LOWER, UPPER, table
 from scriptloom.llm.exact_dedup import exact_dedup
 from scriptloom.llm.line_dedup import line_dedup
 from scriptloom.llm.media import media_features
+from scriptloom.llm.near_dedup import near_dedup
 from scriptloom.llm.packing import best_fit_packing
 from scriptloom.llm.quality import quality
 from scriptloom.llm.toxicity import toxicity
@@ -63,6 +64,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_media": op3_media,
     "op4_toxicity": op4_toxicity,
+    "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
