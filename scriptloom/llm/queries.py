@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptloom.llm.bpe import byte_bpe
 from scriptloom.llm.chat import chat_digest
 from scriptloom.llm.common import LOWER, UPPER, table
 from scriptloom.llm.exact_dedup import exact_dedup
@@ -13,6 +14,7 @@ from scriptloom.llm.media import media_features
 from scriptloom.llm.near_dedup import near_dedup
 from scriptloom.llm.packing import best_fit_packing
 from scriptloom.llm.quality import quality
+from scriptloom.llm.repeats import remove_repeats
 from scriptloom.llm.toxicity import toxicity
 
 
@@ -56,6 +58,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(conversation_log(rows))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
@@ -106,8 +114,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_media": op3_media,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
@@ -115,6 +129,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLES = {
