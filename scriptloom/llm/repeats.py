@@ -2,7 +2,7 @@
 
 1. A window of ``length`` bytes picks, of the ``length`` / 2 -byte strings in it, the one of least hash: its anchor. Equal
    windows pick anchors of equal content, so windows can only be equal around anchors of one hash.
-2. The stretch around an anchor holds every window that can pick it. Stretches that are equal as a whole are settled by
+2. The stretch of an anchor holds the windows that pick it. Stretches that are equal as a whole are settled by
    counting their hashes; only one of each goes on, and only where an anchor has several different stretches.
 3. Their bytes meet by anchor and are put into suffix arrays by two-stage sorting, block by block. Suffixes next to each
    other whose common prefix is long enough mark windows. An anchor with very many different stretches is settled by
@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,9 @@ INVERSE = pow(RATIO, -1, 2**64)
 SLICE = 1 << 20
 PLACES = np.uint64((1 << 21) - 1)
 #: An anchor with more different stretches than this is settled by counting windows.
-STRETCHES = 1_000
+STRETCHES = 6_000
+#: Bytes by which suffixes are sorted at first.
+HEAD = 40
 #: Bytes that are sorted together, about.
 SORTED = 300_000
 
@@ -67,12 +71,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     if width < span:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    starts = np.arange(len(least))
-    valid = starts + length <= offsets[1:][owner[: len(least)]]
-    place = np.unique((least[valid] & PLACES).astype(np.int64))
+    starts = np.flatnonzero(np.arange(len(least)) + length <= offsets[1:][owner[: len(least)]])
+    place, first = np.unique((least[starts] & PLACES).astype(np.int64), return_index=True)
+    last = np.append(first[1:], len(starts)) - 1  # leftmost least values never move back
     text = owner[place]
-    left = np.maximum(place - (length - k), offsets[:-1][text])
-    right = np.minimum(place + length, offsets[1:][text])
+    left, right = starts[first], starts[last] + length
     before, after = place - left, right - place
     stretch = mix(range_hash(sums, left, right) + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return text, place - offsets[:-1][text], before, after, range_hash(sums, place, place + k).astype(np.int64), stretch.astype(np.int64)
@@ -88,13 +91,11 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             for row, data, offsets in blocks(batch.column(1), SLICE):
                 if len(offsets) == 2 and len(data) > SLICE:
                     parts = []
-                    for s in range(0, len(data), SLICE // 2):
-                        low, high = max(0, s - 2 * length), min(len(data), s + SLICE // 2 + 2 * length)
-                        text, place, before, after, a, st = anchors(data[low:high], np.array([0, high - low]), length)
-                        # a stretch cut by the slice is whole in a neighbour; a text's ends are real
-                        whole = ((place - before > 0) | (before == length - length // 2) | (low == 0)) & ((place + after < high - low) | (after == length) | (high == len(data)))
-                        parts.append(np.stack([place + low, before, after, a, st])[:, whole])
-                    place, before, after, a, st = np.unique(np.concatenate(parts, axis=1), axis=1)
+                    for low in range(0, len(data), SLICE // 2):
+                        high = min(len(data), low + SLICE // 2 + length - 1)
+                        _, place, before, after, a, st = anchors(data[low:high], np.array([0, high - low]), length)
+                        parts.append(np.stack([place + low, before, after, a, st]))
+                    place, before, after, a, st = np.concatenate(parts, axis=1)
                     text = np.zeros(len(place), np.int64)
                 else:
                     text, place, before, after, a, st = anchors(data, offsets, length)
@@ -118,7 +119,12 @@ def suffix_array(data: bytes, depth: int) -> np.ndarray:
     known = np.flatnonzero(step)
     smaller = step[known[np.searchsorted(known, np.arange(n))]] > 0
     direct = np.flatnonzero(smaller).tolist()
-    direct.sort(key=lambda i: data[i : i + depth])
+    direct.sort(key=lambda i: data[i : i + HEAD])
+    heads = [data[i : i + HEAD] for i in direct]
+    ties = np.array([False, *map(eq, heads, heads[1:]), False], bool)
+    begins, ends = np.flatnonzero(~ties[:-1] & ties[1:]), np.flatnonzero(ties[:-1] & ~ties[1:]) + 1
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):  # ties in the head are sorted by the rest
+        direct[a:b] = sorted(direct[a:b], key=lambda i: data[i + HEAD : i + depth])
     direct = np.array(direct, np.int64)
     edges = np.searchsorted(t[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
