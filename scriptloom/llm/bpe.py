@@ -81,14 +81,13 @@ def fold_merges(symbols: Column, table: tuple[np.ndarray, np.ndarray, np.ndarray
     The state has the ids and the rank of each neighbouring pair; a merge looks up the two new pairs only."""
     shift, keys, values = table
     slots = len(keys)
-    shifts = literal(shift, "int")
-    entries = F.arrays_zip(literal(keys, "bigint").alias("k"), literal(values, "int").alias("v"))
+    shifts, own, ranked = literal(shift, "int"), literal(keys, "bigint"), literal(values, "int")
 
     def rank(left: Column, right: Column) -> Column:
         key = left.cast("long") * 65_536 + right
-        at = lambda h: (F.shiftrightunsigned(h, 20).bitwiseAND(slots - 1) + F.get(shifts, h.bitwiseAND((1 << BUCKET_BITS) - 1).cast("int"))).bitwiseAND(slots - 1).cast("int")
-        found = bind(F.xxhash64(key), lambda h: F.get(entries, at(h)))
-        return bind(found, lambda e: F.when(e["k"] == key, e["v"]).otherwise(F.lit(NO_RANK)))
+        slot = lambda h: (F.shiftrightunsigned(h, 20).bitwiseAND(slots - 1) + F.get(shifts, h.bitwiseAND((1 << BUCKET_BITS) - 1).cast("int"))).bitwiseAND(slots - 1).cast("int")
+        at = bind(F.xxhash64(key), slot)
+        return bind(at, lambda k: F.when(F.get(own, k) == key, F.get(ranked, k)).otherwise(F.lit(NO_RANK)))
 
     def merge(state: Column, _: Column) -> Column:
         def at(least: Column) -> Column:

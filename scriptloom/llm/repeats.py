@@ -267,8 +267,9 @@ def merged(ranges: list[dict], size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary), and the columns named in ``carry``.
+def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary; with ``as_text`` a string without the
+    characters that lost a byte), and the columns named in ``carry``.
 
     A byte goes if it lies in a ``length``-byte string of its text that starts anywhere else, in the same text too;
     strings are judged on the input. Texts shorter than that, null and empty texts lose nothing. Rows are documents:
@@ -291,8 +292,10 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
                 for a, b in cut:
                     kept.append(data[at:a])
                     at = b
-                out.append((len(data), sum(b - a for a, b in cut), len(cut), b"".join([*kept, data[at:]])))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                left = [*kept, data[at:]]  # each piece is decoded by itself: bytes of two cut characters never join
+                out.append((len(data), sum(b - a for a, b in cut), len(cut), "".join([p.decode("utf-8", "ignore") for p in left]) if as_text else b"".join(left)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(batch.column(3 + k) for k in range(len(rest)))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rest))
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary") + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rest))
