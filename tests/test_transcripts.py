@@ -119,6 +119,6 @@ def test_ids(spark):
 
 def test_extraction_retries(spark):
     chunks = spark.createDataFrame([("v", "c0001", "one", ""), ("v", "c0002", "two", "one")], "video_id string, chunk_id string, text string, context string")
-    client = replay_client({": one": ["not json", '{"events": []}'], ": two": ["[]"]})
+    client = replay_client({"c0001: one": ["not json", '{"events": []}'], "c0002: two": ["[]"]})
     got = {r["chunk_id"]: (r["reply"], r["error"]) for r in deep_extract(chunks, client, ExtractConfig("m", workers=1)).collect()}
     assert got == {"c0001": ('{"events": []}', None), "c0002": (None, "not an object")}
