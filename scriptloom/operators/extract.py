@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Fixed value: the length of a verdict.
+TRIAGE_TOKENS = 64
+
+
 class ModelClient(Protocol):
     """Answers a prompt; must be picklable and idempotent, as Spark may run a task again."""
 
@@ -50,6 +54,27 @@ def triage(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumn("kept", F.when(F.col("error").isNotNull(), True).otherwise(positive)).withColumn("note", note)
 
 
+def ask_verdicts(chunks: DataFrame, client: ModelClient, config: ExtractConfig) -> DataFrame:
+    """Verdicts (video_id, chunk_id, has_code_action, confidence, error) on chunks (video_id, chunk_id, text): one call
+    each without another attempt, on ``workers`` tasks at once. ``triage`` decides on them."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for p in frame["prompt"]:
+                try:
+                    reply = json.loads(client.chat(p, TRIAGE_TOKENS))
+                    rows.append((bool(reply["has_code_action"]), float(reply.get("confidence", 0.0)), None))
+                except Exception as e:  # a failed call is data: triage keeps the chunk
+                    rows.append((None, None, str(e) or type(e).__name__))
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield frame[["video_id", "chunk_id"]].assign(has_code_action=list(columns[0]), confidence=list(columns[1]), error=list(columns[2]))
+
+    head = F.lit("Does this part of a tutorial dictate a code edit? Answer as JSON: has_code_action, confidence.\nPart ")
+    asked = chunks.select("video_id", "chunk_id", F.concat(head, F.col("chunk_id"), F.lit(": "), F.col("text")).alias("prompt"))
+    return asked.repartition(config.workers).mapInPandas(run, "video_id string, chunk_id string, has_code_action boolean, confidence double, error string")
+
+
 def context_before(chunks: DataFrame, key: str, order: str) -> DataFrame:
     """Adds the last 200 characters of the chunk before, in chunk order; empty for the first."""
     w = Window.partitionBy(key).orderBy(order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,5 +99,29 @@ def confidence(files: DataFrame) -> DataFrame:
     return files.join(found, ["video_id", "file"], "left").select("video_id", "file", program_type(F.col("content")).alias("program_type"), score.alias("confidence"))
 
 
+def ask_match(files: DataFrame, events: DataFrame, client, workers: int = 2) -> DataFrame:
+    """(video_id, file, match, detail): whether a model finds that a file reflects its events' code and nothing else.
+    Files without events are not asked about; a failed call fails the query."""
+    order = F.struct("chunk_id", "seq", "ord", "code")
+    code = events.groupBy("video_id", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda e: F.concat(F.coalesce(e["code"], F.lit("")), F.lit("\n"))), "").alias("code"))
+    head = F.lit("Does the file hold exactly the code of the events? Answer as JSON: match, missing, extra, notes.\nFile:\n")
+    asked = files.join(code, ["video_id", "file"]).select("video_id", "file", F.concat(head, F.col("content"), F.lit("\nEvents:\n"), F.col("code")).alias("prompt"))
+
+    def run(frames):
+        for frame in frames:
+            replies = [json.loads(client.chat(p, 512)) for p in frame["prompt"]]
+            said = [[f"{k}: {' | '.join(v) if isinstance(v, list) else v}" for k in ("missing", "extra", "notes") if (v := r.get(k))] for r in replies]
+            yield frame[["video_id", "file"]].assign(match=[bool(r["match"]) for r in replies], detail=["; ".join(["mismatch", *s]) for s in said])
+
+    return asked.repartition(workers).mapInPandas(run, "video_id string, file string, match boolean, detail string")
+
+
+def with_model_check(scores: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Scores (video_id, file, ..., confidence) less one error's penalty, 0 at least, where the model finds a mismatch."""
+    wrong = verdicts.filter("not match").select("video_id", "file", F.lit(ERROR).alias("cost"))
+    less = F.greatest(F.lit(0.0), F.col("confidence") - F.coalesce("cost", F.lit(0.0)))
+    return scores.join(wrong, ["video_id", "file"], "left").withColumn("confidence", less).drop("cost")
+
+
 def overall(scores: DataFrame) -> DataFrame:
     return scores.groupBy("video_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
