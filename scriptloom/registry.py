@@ -112,11 +112,11 @@ def context_before(spark, d):
     return ex.context_before(read(spark, d, "documents").select("doc_id", "source", "text"), "source", "doc_id").select("doc_id", "context")
 
 
-@query("""SELECT source, count(*) AS passed, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS failures
-FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 AND (quality = 0 OR doc_id % 2 = 0) GROUP BY source HAVING count(*) = sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END)""")
+@query("""SELECT n_chars, count(*) AS passed, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS failures
+FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY n_chars HAVING count(*) = sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END)""")
 def all_failed(spark, d):
-    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").filter("toxic = 0 and (quality = 0 or doc_id % 2 = 0)")
-    return ex.all_failed(rows.select("source", (F.col("quality") == 0).alias("failed")), "source")
+    rows = read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels"), "doc_id").filter("toxic = 0")
+    return ex.all_failed(rows.select("n_chars", (F.col("quality") == 0).alias("failed")), "n_chars")
 
 
 def seeded_events(spark, d) -> DataFrame:
@@ -277,12 +277,11 @@ def worst_f1(spark, d):
     return worst.select("source", F.round("w.f1", 9).alias("f1"))
 
 
-@query("""SELECT tok FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+|[^\\s\\x{85}\\x{a0}]')) AS tok FROM benchmark WHERE item_id = 0)
-INTERSECT ALL SELECT tok FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+|[^\\s\\x{85}\\x{a0}]')) AS tok FROM benchmark WHERE item_id = 1)""")
+@query("""SELECT tok FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+|[^\\s\\x{85}\\x{a0}]')) AS tok FROM benchmark)
+INTERSECT ALL SELECT tok FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+|[^\\s\\x{85}\\x{a0}]')) AS tok FROM documents)""")
 def intersect_all(spark, d):
     tok = F.explode(fi.tokens(F.col("text"))).alias("tok")
-    b = read(spark, d, "benchmark")
-    return b.filter("item_id = 0").select(tok).intersectAll(b.filter("item_id = 1").select(tok))
+    return read(spark, d, "benchmark").select(tok).intersectAll(read(spark, d, "documents").select(tok))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 4 IN (0, 1, 2) THEN 'id' || lpad(CAST(page_id AS VARCHAR), 9, '0') END AS video_id FROM pages""")
@@ -303,10 +302,12 @@ def content_hash(spark, d):
     return read(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS video_id, sha256(text) AS input_hash FROM documents WHERE doc_id % 3 <> 0")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS video_id, sha256(text) AS input_hash FROM documents
+WHERE NOT coalesce(text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), FALSE)""")
 def incremental_skip(spark, d):
-    work = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("video_id"), F.lit("segment").alias("stage"), T.content_hash(F.col("text")).alias("input_hash"), "doc_id")
-    done = work.filter("doc_id % 3 = 0").select("video_id", "stage", "input_hash", F.lit("done").alias("status"), F.timestamp_seconds(F.lit(0)).alias("finished"))
+    work = read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("video_id"), F.lit("segment").alias("stage"), T.content_hash(F.col("text")).alias("input_hash"))
+    made = work.join(read(spark, d, "labels").filter("quality = 1"), "doc_id", "left_semi")
+    done = made.select("video_id", "stage", "input_hash", F.lit("done").alias("status"), F.timestamp_seconds(F.lit(0)).alias("finished"))
     return pending(work.drop("doc_id"), done).select("video_id", "input_hash")
 
 
