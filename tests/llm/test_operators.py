@@ -201,6 +201,21 @@ def test_tokenizers(spark, docs):
     assert packing.best_fit_packing(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_byte_bpe_cases(docs):
+    tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+
+    from scriptloom.llm.bpe import byte_bpe, read_ranks
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    some = docs.filter("text is null or length(text) < 25000")
+    want = [(str(i), len(ids := enc.encode_ordinary(t)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows_of(some)]
+    for most in (400_000, 20):  # the second begins its numbers anew all the time
+        got = byte_bpe(some, path, P.PATTERN, most_words=most).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
+    assert byte_bpe(some.limit(0), path, P.PATTERN).count() == 0
+
+
 def test_classifiers(spark, docs):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
