@@ -73,14 +73,13 @@ def metadata(source: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda p: p["k"] == e["k"])))
 
 
-def findings(files: DataFrame) -> DataFrame:
-    """(video_id, file, pos, severity, check, detail) in the order of the checks."""
-    src = F.col("content")
+def checks_of(src: Column) -> Column:
+    """Findings (severity, check, detail) of a file in the order of the checks."""
     code = strip_code(src)
     one = lambda severity, check, detail: F.array(F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), F.lit(detail).alias("detail")))
     none = F.array().cast("array<struct<severity: string, check: string, detail: string>>")
     named = lambda array, severity, check, detail: F.transform(array, lambda x: F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), detail(x).alias("detail")))
-    checks = F.concat(
+    return F.concat(
         F.when(~balanced(code, "{", "}"), one("error", "balance", "unbalanced {}")).otherwise(none),
         F.when(~balanced(code, "(", ")"), one("error", "balance", "unbalanced ()")).otherwise(none),
         named(missing_entry_points(src), "error", "entry_points", lambda x: F.concat(F.lit("missing "), x)),
@@ -88,15 +87,20 @@ def findings(files: DataFrame) -> DataFrame:
         named(artifact_lines(src), "warning", "artifacts", lambda x: F.concat(x["mark"], F.lit(": "), snippet(x["line"], 80))),
         F.when(truncated(src), one("warning", "truncation", "last line ends no statement")).otherwise(none),
     )
-    return files.select("video_id", "file", F.posexplode(checks).alias("pos", "f")).select("video_id", "file", "pos", "f.*")
+
+
+def findings(files: DataFrame) -> DataFrame:
+    """(video_id, file, pos, severity, check, detail) in the order of the checks."""
+    return files.select("video_id", "file", F.posexplode(checks_of(F.col("content"))).alias("pos", "f")).select("video_id", "file", "pos", "f.*")
 
 
 def confidence(files: DataFrame) -> DataFrame:
     """(video_id, file, program_type, confidence): 1 less each penalty in turn, 0 at least. The subtraction is stepwise,
     as sums of many small doubles differ from their closed form at the threshold."""
-    found = findings(files).groupBy("video_id", "file").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("severity") == "error", ERROR).otherwise(WARNING).alias("cost")))).alias("costs"))
-    score = F.greatest(F.lit(0.0), F.aggregate(F.coalesce("costs", F.array().cast("array<struct<pos: int, cost: double>>")), F.lit(1.0), lambda a, c: a - c["cost"]))
-    return files.join(found, ["video_id", "file"], "left").select("video_id", "file", program_type(F.col("content")).alias("program_type"), score.alias("confidence"))
+    cost = lambda f: F.when(f["severity"] == "error", F.lit(ERROR)).otherwise(F.lit(WARNING))
+    found = F.coalesce(checks_of(F.col("content")), F.array().cast("array<struct<severity: string, check: string, detail: string>>"))
+    score = F.greatest(F.lit(0.0), F.aggregate(found, F.lit(1.0), lambda a, f: a - cost(f)))
+    return files.select("video_id", "file", program_type(F.col("content")).alias("program_type"), score.alias("confidence"))
 
 
 def ask_match(files: DataFrame, events: DataFrame, client, workers: int = 2) -> DataFrame:
