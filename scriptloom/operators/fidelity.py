@@ -20,12 +20,20 @@ def strip_comments(source: Column) -> Column:
         line = F.when(F.contains(rest, F.lit("//")) & (quotes % 2 == 0), before).otherwise(rest)
         closed = line.rlike(r"/\*[\s\S]*?\*/")
         opens = ~closed & F.contains(line, F.lit("/*"))
-        text = F.trim(F.when(closed, F.regexp_replace(line, r"/\*[\s\S]*?\*/", "")).when(opens, F.substring_index(line, "/*", 1)).otherwise(line))
+        # regexp_replace would take every block comment of the line, the fold takes the first only
+        first = F.concat(F.substring_index(line, "/*", 1), F.regexp_replace(line, r"^[\s\S]*?/\*[\s\S]*?\*/", ""))
+        text = F.trim(F.when(closed, first).when(opens, F.substring_index(line, "/*", 1)).otherwise(line))
         return F.struct((still | opens).alias("open"), F.when(text == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(text))).alias("lines"))
 
     return F.aggregate(F.split(source, "\n"), F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("lines")), step, lambda s: s["lines"])
 
 
+def stripped(source: Column) -> Column:
+    """The text that is compared. Without a comment's mark its tokens are those of the source, so the fold is left out."""
+    marked = F.contains(source, F.lit("//")) | F.contains(source, F.lit("/*"))
+    return F.when(marked, F.array_join(strip_comments(source), "\n")).otherwise(source)
+
+
 def tokens(source: Column) -> Column:
     return F.regexp_extract_all(source, F.lit(TOKEN), F.lit(0))
 
@@ -35,9 +43,10 @@ def token_counts(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 
 def compare(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, golden_tokens, output_tokens, precision, recall, f1) of pairs (key, golden, output); 0 where empty."""
-    g = token_counts(pairs, [key], F.col("golden")).withColumnRenamed("n", "g")
-    o = token_counts(pairs, [key], F.col("output")).withColumnRenamed("n", "o")
+    """(key, golden_tokens, output_tokens, precision, recall, f1) of pairs (key, golden, output), both without their
+    comments; 0 where empty."""
+    g = token_counts(pairs, [key], stripped(F.col("golden"))).withColumnRenamed("n", "g")
+    o = token_counts(pairs, [key], stripped(F.col("output"))).withColumnRenamed("n", "o")
     zero = lambda c: F.coalesce(c, F.lit(0))
     joined = g.join(o, [key, "tok"], "full").groupBy(key).agg(F.sum(zero(F.col("g"))).alias("golden_tokens"), F.sum(zero(F.col("o"))).alias("output_tokens"), F.sum(F.least(zero(F.col("g")), zero(F.col("o")))).alias("matched"))
     scored = pairs.select(key).join(joined, key, "left").na.fill(0, ["golden_tokens", "output_tokens", "matched"])

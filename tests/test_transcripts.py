@@ -1,4 +1,7 @@
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +112,52 @@ def test_fidelity(spark):
     assert (r["n"], r["l"]) == (12, ["a;", "d;", 'url="//e";'])
 
 
+def plain_strip(source):
+    """Survey M1 line by line, with string searches only."""
+    out, block = [], False
+    for line in source.split("\n"):
+        if block:
+            i = line.find("*/")
+            if i < 0:
+                continue
+            line, block = line[i + 2 :], False
+        i = line.find("//")
+        if i >= 0 and line[:i].count('"') % 2 == 0:
+            line = line[:i]
+        i = line.find("/*")
+        if i >= 0:
+            j = line.find("*/", i + 2)
+            line, block = (line[:i] + line[j + 2 :], False) if j >= 0 else (line[:i], True)
+        if line.strip():
+            out.append(line.strip())
+    return "\n".join(out)
+
+
+def plain_compare(golden, output):
+    g, o = (Counter(re.findall(r"\w+|[^\w\s]", plain_strip(s))) for s in (golden, output))
+    n, m, both = g.total(), o.total(), (g & o).total()
+    p, r = both / m if m else 0.0, both / n if n else 0.0
+    return n, m, round(p, 9), round(r, 9), round(2 * p * r / (p + r), 9) if p + r else 0.0
+
+
+def test_fidelity_comments(spark):
+    code = "int x;\nvoid f() { g(1); }\n"
+    rows = [
+        (code, "// head\n/* long\n   note */int x; // tail\nvoid f() { /* why */ g(1); }\n"),
+        ("a /* b */ c /* d */ e", "a c e"),
+        ("a /* b */ c /* d\ne */ f", "a f"),
+        ('see "http://x" // y\nz', 'see "http://x"\nz'),
+        ("a /* // */ b\nc */ d", "a d"),
+        ("/* all", ""),
+    ]
+    pieces, rng = ["//", "/*", "*/", '"', "a", "b1", " ", "\n", "/", "*"], random.Random(3)
+    rows += [tuple("".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(2)) for _ in range(400)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "pair_id long, golden string, output string")
+    got = {r[0]: (r[1], r[2], *(round(x, 9) for x in r[3:])) for r in compare(df).collect()}
+    assert got == {k: plain_compare(*r) for k, r in enumerate(rows)}
+    assert got[0][-1] == 1.0
+
+
 def test_ids(spark):
     i = "dQw4w9WgXcQ"
     good = [i, f" {i} ", f"https://www.youtube.com/watch?v={i}", f"https://youtu.be/{i}?t=1", f"https://m.youtube.com/watch?a=b&v={i}", f"https://youtube.com/shorts/{i}", f"https://www.youtube-nocookie.com/embed/{i}"]
