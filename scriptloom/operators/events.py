@@ -25,6 +25,27 @@ def first_error(chunk_id: Column, seq: Column, op: Column, file: Column, anchor:
     )
 
 
+def violation(chunk_id: str, event: object) -> str | None:
+    """The first rule that an event of a parsed reply breaks once ``reanchor`` has set its id and seq, null for a valid
+    event: a field of another type, then the rules of ``first_error``. An anchor of any white space is blank."""
+    event = {} if event is None else event
+    if not isinstance(event, dict):
+        return "not an object"
+    chars = {name: event.get(name) for name in ("chunk_id", "op", "file", "anchor", "code")}
+    for name, value in chars.items():
+        if value is not None and not isinstance(value, str):
+            return f"type of {name}"
+    seq = event.get("seq")
+    if seq is not None and (type(seq) is not int or seq >= 1 << 31):
+        return "type of seq"
+    op, file, anchor, code = (chars[name] or "" for name in ("op", "file", "anchor", "code"))
+    broken = {
+        "chunk_id": not chunk_id, "op": op not in OPS, "file": not file, "bare name": "/" in file or "\\" in file or file.startswith("."),
+        "extension": not file.endswith(".mq5"), "anchor": op == "replace" and not anchor.strip(), "code": op != "replace" and not code,
+    }
+    return next((rule for rule, is_broken in broken.items() if is_broken), None)
+
+
 def validate(events: DataFrame) -> DataFrame:
     return events.withColumn("reject", first_error(*(F.col(c) for c in ("chunk_id", "seq", "op", "file", "anchor", "code"))))
 

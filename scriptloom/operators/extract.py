@@ -9,6 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptloom.operators.events import violation
 
 # Fixed value: the length of a verdict.
 TRIAGE_TOKENS = 64
@@ -92,20 +93,38 @@ def prompt(chunk_id, text, context):
     return F.concat(F.lit("List the code edits that this part of a tutorial dictates, as JSON events."), before, F.lit("\nPart "), chunk_id, F.lit(": "), text)
 
 
+def checked_reply(chunk_id: str, reply: str) -> str:
+    """The reply if it is exactly one JSON object whose events are a list without a bad one; absent or null they are no
+    events. Keys in other case are written in lower case. Raises what is wrong."""
+
+    def number(name):
+        raise ValueError(f"not JSON: {name}")
+
+    folded = json.loads(reply, object_pairs_hook=lambda pairs: {k.lower(): v for k, v in pairs}, parse_constant=number)
+    if not isinstance(folded, dict):
+        raise ValueError("not an object")
+    events = folded.get("events")
+    if events is not None and not isinstance(events, list):
+        raise ValueError("events is not a list")
+    for k, event in enumerate(events or [], 1):
+        if rule := violation(chunk_id, event):
+            raise ValueError(f"event {k}: {rule}")
+    return reply if folded == json.loads(reply) else json.dumps(folded)
+
+
 def deep_extract(chunks: DataFrame, client: ModelClient, config: ExtractConfig) -> DataFrame:
     """(video_id, chunk_id, reply, error) of chunks (video_id, chunk_id, text, context): up to retries + 1 attempts
-    each, on ``workers`` tasks at once. A reply is exactly one JSON object."""
+    each, on ``workers`` tasks at once. A reply that ``checked_reply`` refuses is asked for again; the last refusal is
+    the chunk's error, and the row its failure marker."""
 
     def run(frames):
         for frame in frames:
             replies, errors = [], []
-            for p in frame["prompt"]:
+            for chunk_id, p in zip(frame["chunk_id"], frame["prompt"], strict=True):
                 reply = error = None
                 for _ in range(config.retries + 1):
                     try:
-                        reply, error = client.chat(p, config.num_predict), None
-                        if not isinstance(json.loads(reply), dict):
-                            raise ValueError("not an object")
+                        reply, error = checked_reply(chunk_id, client.chat(p, config.num_predict)), None
                         break
                     except Exception as e:  # a failed attempt is data: it becomes the chunk's failure marker
                         reply, error = None, str(e)

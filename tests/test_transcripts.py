@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 import re
@@ -7,13 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptloom.functions import text as T
-from scriptloom.operators.events import first_error, reanchor
-from scriptloom.operators.extract import ExtractConfig, deep_extract, replay_client
+from scriptloom.operators.events import first_error, reanchor, violation
+from scriptloom.operators.extract import ExtractConfig, all_failed, deep_extract, replay_client
 from scriptloom.operators.fidelity import compare, strip_comments, tokens
 from scriptloom.operators.replay import replay, replay_report
 from scriptloom.operators.segment import SegmentConfig, segment
 from scriptloom.operators.transcript import normalize
 from scriptloom.operators.verify import balanced, confidence, findings, metadata, strip_code
+from scriptloom.plans.flow import events_of
 from scriptloom.sources.captions import decode_json3
 
 LINE = "video_id string, ord long, start double, end double, text string"
@@ -171,3 +173,41 @@ def test_extraction_retries(spark):
     client = replay_client({"c0001: one": ["not json", '{"events": []}'], "c0002: two": ["[]"]})
     got = {r["chunk_id"]: (r["reply"], r["error"]) for r in deep_extract(chunks, client, ExtractConfig("m", workers=1)).collect()}
     assert got == {"c0001": ('{"events": []}', None), "c0002": (None, "not an object")}
+
+
+def test_extraction_checks_events(spark):
+    def reply(*events):
+        return json.dumps({"events": events})
+
+    good = {"op": "create", "file": "a.mq5", "code": "int x;"}
+    bad = {
+        "event 2: extension": reply(good, good | {"file": "a.txt"}),
+        "event 1: anchor": reply({"op": "replace", "file": "a.mq5", "anchor": " \t", "code": "y"}),
+        "event 1: op": reply(good | {"op": "delete"}),
+        "event 1: file": reply({"op": "append", "code": "y"}),
+        "event 1: bare name": reply(good | {"file": "x\\a.mq5"}),
+        "event 1: code": reply(good | {"code": None}),
+        "event 1: type of seq": reply(good | {"seq": "1"}),
+        "event 1: type of code": reply(good | {"code": 5}),
+        "event 1: not an object": reply("x"),
+        "events is not a list": '{"events": {}}',
+    }
+    fine = [reply(good), reply(good | {"seq": 0}), "{}", '{"events": null}']
+    cases = [([b], (None, e)) for e, b in bad.items()] + [([b, b, fine[0]], (fine[0], None)) for b in bad.values()] + [([r], (r, None)) for r in fine]
+    cases.append((['{"Events": [{"OP": "create", "File": "a.mq5", "code": "x"}]}'], ('{"events": [{"op": "create", "file": "a.mq5", "code": "x"}]}', None)))
+    chunks = spark.createDataFrame([("v", f"c{k:04}", "t", "") for k in range(len(cases))], "video_id string, chunk_id string, text string, context string")
+    client = replay_client({f"c{k:04}: t": list(replies) for k, (replies, _) in enumerate(cases)})
+    out = deep_extract(chunks, client, ExtractConfig("m", workers=1, retries=2)).persist()
+    assert {r["chunk_id"]: (r["reply"], r["error"]) for r in out.collect()} == {f"c{k:04}": want for k, (_, want) in enumerate(cases)}
+    with_events = {f"c{k:04}" for k, (_, (r, _)) in enumerate(cases) if r and "mq5" in r}
+    assert {r["chunk_id"] for r in events_of(out).collect()} == with_events
+    outcomes = out.select("video_id", F.col("error").isNotNull().alias("failed"), "chunk_id")
+    assert [r["video_id"] for r in all_failed(outcomes.filter(F.col("chunk_id") < f"c{len(bad):04}"), "video_id").collect()] == ["v"]
+
+
+def test_violations_as_first_error(spark):
+    names = ("chunk_id", "op", "file", "anchor", "code")
+    rows = [dict(zip(names, r, strict=True)) for r in itertools.product(("c", "", None), ("create", "replace", "delete", None), ("a.mq5", "a/b.mq5", ".mq5", "a.txt", "", None), ("k", " ", None), ("x", "", None))]
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], "chunk_id string, op string, file string, anchor string, code string")
+    got = df.select(first_error(*(F.col(n) if n else F.lit(1) for n in ("chunk_id", None, "op", "file", "anchor", "code"))).alias("rule")).collect()
+    assert [r["rule"] for r in got] == [violation(r["chunk_id"], r) for r in rows]
