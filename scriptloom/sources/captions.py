@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptloom.operators.events import first_error
+
 JSON3 = "struct<events: array<struct<tStartMs: double, dDurationMs: double, segs: array<struct<utf8: string>>>>>"
 ASR = "array<struct<start: double, end: double, text: string>>"
 EVENT = "chunk_id string, seq int, op string, file string, anchor string, code string"
@@ -47,12 +49,25 @@ def route_jsonl(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.select("*", kind.alias("kind"), F.from_json(v, f"{EVENT}, error string").alias("record"))
 
 
+def log_reject(kind: Column, value: Column, record: Column) -> Column:
+    """What is wrong with a log line of ``route_jsonl``, null for a good one: no JSON object, a field of another type, or
+    the first rule that an event breaks. Absent and null fields count as empty."""
+    doc = F.try_parse_json(value)
+    kinds = {name: F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")) for name in ("chunk_id", "seq", "op", "file", "anchor", "code", "error")}
+    other = {name: found.isNotNull() & ~found.isin("VOID", "BIGINT" if name == "seq" else "STRING") for name, found in kinds.items()}
+    wrong = lambda *names: F.coalesce(*(F.when(other[n], f"type of {n}") for n in names))
+    rule = first_error(*(record[n] for n in ("chunk_id", "seq", "op", "file", "anchor", "code")))
+    blank = F.when((record["op"] == "replace") & ~record["anchor"].rlike(r"(?U)\S"), "anchor")  # white space of any kind
+    return F.when(kind == "invalid", "not a JSON object").when(kind == "failed", wrong("chunk_id", "error")).otherwise(F.coalesce(wrong("chunk_id", "seq", "op", "file", "anchor", "code"), rule, blank))
+
+
 def read_event_log(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
-    """Events and failure markers of a log; an invalid line fails the query unless ``quarantine`` keeps it aside."""
+    """Events and failure markers of a log; a line with a ``log_reject`` fails the query unless ``quarantine`` keeps it
+    aside as kind "invalid"."""
     routed = route_jsonl(spark.read.text(path))
-    if not quarantine:
-        routed = routed.withColumn("kind", F.when(F.col("kind") == "invalid", F.raise_error(F.concat(F.lit("not a log line: "), F.col("value")))).otherwise(F.col("kind")))
-    return routed.select("kind", "record.*")
+    reject = log_reject(F.col("kind"), F.trim("value"), F.col("record"))
+    bad = F.lit("invalid") if quarantine else F.raise_error(F.concat(F.lit("bad log line ("), reject, F.lit("): "), F.col("value")))
+    return routed.withColumn("kind", F.when(reject.isNotNull(), bad).otherwise(F.col("kind"))).select("kind", "record.*")
 
 
 def export_union(events: DataFrame, failed: DataFrame) -> DataFrame:

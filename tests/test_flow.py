@@ -6,6 +6,7 @@ from scriptloom.__main__ import main
 from scriptloom.operators.extract import ExtractConfig, ask_verdicts, replay_client, triage
 from scriptloom.operators.verify import ask_match, with_model_check
 from scriptloom.plans.config import Settings, parse, seconds
+from scriptloom.sources.captions import read_event_log
 
 
 def test_settings():
@@ -55,3 +56,20 @@ def test_command_line(spark, tmp_path):
     assert main(["--min-confidence", "0.71", "verify", "--files", f"{tmp_path}/out"], spark) == 1
     assert main(["fidelity", "--golden", f"{tmp_path}/out/f.mq5", "--files", f"{tmp_path}/out"], spark) == 0
     assert main(["--min-confidence", "2", "verify", "--files", "x"], spark) == 2
+
+
+def test_event_log_is_validated(spark, tmp_path):
+    good = {"chunk_id": "c0001", "seq": 1, "op": "create", "file": "f.mq5", "code": "int x;"}
+    fine = [good, good | {"op": "replace", "anchor": "x", "code": ""}, good | {"anchor": None}, {"chunk_id": "c0002", "error": None}, {"chunk_id": "c0002", "error": "x", "seq": "y"}]
+    bad = [good | change for change in ({"seq": 0}, {"seq": None}, {"seq": "1"}, {"seq": 1.5}, {"file": "a/f.mq5"}, {"file": "f.txt"}, {"code": 5}, {"code": {}}, {"chunk_id": ""}, {"op": "delete"}, {"op": "replace", "anchor": "\t"})]
+    bad += [{"chunk_id": "c0002", "error": 5}, [good]]
+    for k, line in enumerate(bad):
+        log = tmp_path / f"bad{k}.jsonl"
+        log.write_text("\n".join(map(json.dumps, [good, line])))
+        with pytest.raises(Exception, match="bad log line"):
+            main(["assemble", "--events", str(log), "--out", f"{tmp_path}/made"], spark)
+    (tmp_path / "all.jsonl").write_text("# log\n\n" + "\n".join(map(json.dumps, fine + bad)))
+    kinds = [r["kind"] for r in read_event_log(spark, f"{tmp_path}/all.jsonl", quarantine=True).collect()]
+    assert kinds == ["event"] * 3 + ["failed"] * 2 + ["invalid"] * len(bad)
+    (tmp_path / "fine.jsonl").write_text("\n".join(map(json.dumps, fine)))
+    assert read_event_log(spark, f"{tmp_path}/fine.jsonl").filter("kind = 'event'").count() == 3
