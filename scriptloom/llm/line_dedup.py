@@ -1,8 +1,8 @@
 """Line deduplication with levelled sorted runs of line hashes, in DataFrame functions only.
 
-Lines arrive in batches. The keys of a batch are merge-joined with the runs: those found nowhere are fresh, the rest
-are counted again; both go into a new sorted run at level 0. When a level holds ``fanout`` runs they are compacted
-into one run of the next level, so a key lies in few runs and each is rewritten a logarithmic number of times.
+Lines arrive in batches. The keys of a batch are merge-anti-joined with the runs: those found nowhere are fresh and
+make a new sorted run at level 0; counts and largest ids of the others are merged into the run that holds the key. So
+a key lies in one run. When a level holds ``fanout`` runs they are compacted into one run of the next level.
 """
 
 from __future__ import annotations
@@ -19,15 +19,11 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 class LineRuns:
-    """The runs: rows (hi, lo, n_docs, max_doc, fresh), each run sorted by its 128-bit key (hi, lo)."""
+    """The runs: rows (hi, lo, n_docs, max_doc), each run sorted by its 128-bit key (hi, lo), no key in two runs."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        union = reduce(DataFrame.unionByName, runs)
-        return union.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("fresh").alias("fresh"))
-
     def _write(self, run: DataFrame, level: int) -> DataFrame:
         return stored(run.repartition("hi", "lo").sortWithinPartitions("hi", "lo"), f"run-l{level}")
 
@@ -38,24 +34,28 @@ class LineRuns:
         """The rows of ``keys`` (hi, lo, ...) that no run holds."""
         return reduce(lambda left, run: left.join(run.select("hi", "lo"), ["hi", "lo"], "left_anti"), self.runs(), keys)
 
+    def _counted(self, run: DataFrame, batch: DataFrame) -> DataFrame:
+        """The run's rows, with what the batch adds to their keys. Null ids are smaller than any other."""
+        more = batch.select("hi", "lo", F.col("n_docs").alias("n"), F.col("max_doc").alias("m"))
+        return run.join(more, ["hi", "lo"], "left").select("hi", "lo", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "m").alias("max_doc"))
+
     def add(self, batch: DataFrame) -> None:
-        """Adds the counted keys (hi, lo, n_docs, max_doc) of a batch as a run of its own."""
+        """Adds the counted keys (hi, lo, n_docs, max_doc) of a batch, each key once."""
         if self.runs():
-            known = reduce(DataFrame.union, [r.filter("fresh").select("hi", "lo") for r in self.runs()]).withColumn("known", F.lit(True))
-            batch = batch.join(known, ["hi", "lo"], "left").select("hi", "lo", "n_docs", "max_doc", F.col("known").isNull().alias("fresh"))
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
-        self.levels[0].append(self._write(batch, 0))
+            batch = stored(batch, "counted")
+        fresh = self._write(self.fresh(batch), 0)
+        self.levels = [[self._write(self._counted(run, batch), i) for run in level] for i, level in enumerate(self.levels)]
+        self.levels[0].append(fresh)
         for i in range(len(self.levels)):
             if len(self.levels[i]) >= self.fanout:
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(self._write(self._merged(self.levels[i]), i + 1))
+                self.levels[i + 1].append(self._write(reduce(DataFrame.unionByName, self.levels[i]), i + 1))
                 self.levels[i] = []
 
     def totals(self) -> DataFrame:
-        """One row per key over all runs."""
-        return self._merged(self.runs())
+        """One row per key."""
+        return reduce(DataFrame.unionByName, self.runs())
 
 
 def line_keys(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:

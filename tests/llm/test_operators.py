@@ -12,7 +12,7 @@ import pytest
 from scriptloom.llm import media, packing, quality, repeats, shingles, toxicity
 from scriptloom.llm.chat import chat_digest, fold_messages, read_turns, render
 from scriptloom.llm.exact_dedup import exact_dedup
-from scriptloom.llm.line_dedup import line_dedup
+from scriptloom.llm.line_dedup import LineRuns, line_dedup
 from scriptloom.llm.near_dedup import near_dedup
 from scriptloom.llm.queries import TRICKY, conversation_log
 from scriptloom.llm.textnum import blocks, split_words
@@ -67,6 +67,22 @@ def test_lines(docs):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_runs(spark):
+    rng, want, runs = random.Random(4), {}, LineRuns(spark, fanout=2)
+    for _ in range(5):
+        batch = {(rng.randint(0, 9), rng.randint(0, 2)): (rng.randint(1, 3), rng.choice([None, rng.randint(-5, 50)])) for _ in range(12)}
+        fresh = {k for k in batch if k not in want}
+        table = spark.createDataFrame([(*k, *v) for k, v in batch.items()], "hi long, lo long, n_docs long, max_doc long")
+        assert {(r["hi"], r["lo"]) for r in runs.fresh(table).collect()} == fresh
+        runs.add(table)
+        for k, (n, m) in batch.items():
+            old = want.get(k, (0, None))
+            want[k] = (old[0] + n, max((x for x in (old[1], m) if x is not None), default=None))
+        held = [(r["hi"], r["lo"]) for run in runs.runs() for r in run.collect()]
+        assert sorted(held) == sorted(want)  # each key in one run
+        assert {(r["hi"], r["lo"]): (r["n_docs"], r["max_doc"]) for r in runs.totals().collect()} == want
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
