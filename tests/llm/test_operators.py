@@ -13,7 +13,7 @@ from scriptloom.llm import media, packing, quality, repeats, shingles, toxicity
 from scriptloom.llm.chat import chat_digest, fold_messages, read_turns, render
 from scriptloom.llm.exact_dedup import exact_dedup
 from scriptloom.llm.line_dedup import LineRuns, line_dedup
-from scriptloom.llm.near_dedup import near_dedup
+from scriptloom.llm.near_dedup import near_dedup, similar_links
 from scriptloom.llm.queries import TRICKY, conversation_log
 from scriptloom.llm.textnum import blocks, split_words
 
@@ -103,6 +103,31 @@ def test_near(docs):
     assert near_dedup(docs.limit(0)).count() == 0
 
 
+def test_all_links(spark, docs):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(200)]
+    more = []
+    for k in range(12):  # one dense class: many links beside those that span it
+        some = list(base)
+        for _ in range(k % 5):
+            some[rng.randrange(200)] = f"other{k}"
+        more.append((100 + k, " ".join(some), 1, "a", "b"))
+    table = docs.union(spark.createDataFrame(more, DOCS))
+    links, per_row = similar_links(table)
+    found = rows_of(table)
+    sets = [shingle_set(t) for _, t in found]
+    near = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    want = [(str(i), len(x), sum(bool(near(x, y)) for k, y in enumerate(sets) if k != j)) for j, ((i, _), x) in enumerate(zip(found, sets, strict=True))]
+    got = per_row.collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in got) == sorted(want)
+    pairs = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(set(pairs)) == len(pairs) == sum(bool(near(x, y)) for x, y in combinations(set(sets), 2))
+    assert len(pairs) > len({i for p in pairs for i in p})  # more than span the classes
+    assert all(a < b for a, b in pairs) and {i for p in pairs for i in p} <= {r["set"] for r in got}
+    links, per_row = similar_links(docs.limit(0))
+    assert links.count() == per_row.count() == 0
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(0)
     for _ in range(800):
