@@ -257,6 +257,21 @@ def test_byte_bpe_cases(docs):
     assert byte_bpe(some.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_long_words(spark, docs):
+    tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+
+    from scriptloom.llm.bpe import byte_bpe, read_ranks
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    rng = random.Random(6)
+    mixed = spark.createDataFrame([(99, "".join(rng.choice("abcdefghij") for _ in range(8_000)), 1, "a", "b")], DOCS)
+    some = docs.filter("length(text) >= 25000").union(mixed)
+    want = [(i, len(ids := enc.encode_ordinary(t)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows_of(some)]
+    assert len(want) == 2
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe(some, path, P.PATTERN).collect()) == sorted(want)
+
+
 def test_classifiers(spark, docs):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
