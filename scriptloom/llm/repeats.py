@@ -1,17 +1,20 @@
 """Repeated passages by suffix arrays: every byte covered by a long enough string that starts anywhere else goes.
 
-1. A window of ``length`` bytes picks, of the ``length`` / 2 -byte strings in it, the one of least hash: its anchor. Equal
+1. A window of ``length`` bytes picks, of the ``length`` / 3 -byte strings in it, the one of least hash: its anchor. Equal
    windows pick anchors of equal content, so windows can only be equal around anchors of one hash.
-2. The stretch of an anchor holds the windows that pick it. Stretches that are equal as a whole are settled by
-   counting their hashes; only one of each goes on, and only where an anchor has several different stretches.
-3. Their bytes meet by anchor and are put into suffix arrays by two-stage sorting, block by block. Suffixes next to each
-   other whose common prefix is long enough mark windows. An anchor with very many different stretches is settled by
-   counting the hashes of its windows instead, which no single task has to hold.
+2. The stretch of an anchor holds the windows that pick it. Equal stretches are collapsed to two places, the least and
+   the largest, before any bytes move. Only anchors with two places or more go on.
+3. The bytes of these places meet in blocks, neighbouring ones of a text as one segment, and are put into suffix arrays
+   by two-stage sorting. Suffixes next to each other whose common prefix is long enough mark windows. A stretch that is
+   found repeated as a whole between its two places is so at its further places too.
+4. An anchor with too many different stretches for one block is split by the next bytes: its windows fall into two
+   halves by where they begin, each half shares more bytes with the anchor, and these bytes are the new key. The
+   narrowest half is one window, so every group comes down to a block.
 """
 
 from __future__ import annotations
 
-from operator import eq
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,16 @@ RATIO = 0xC6A4A7935BD1E995
 INVERSE = pow(RATIO, -1, 2**64)
 SLICE = 1 << 20
 PLACES = np.uint64((1 << 21) - 1)
-#: An anchor with more different stretches than this is settled by counting windows.
-STRETCHES = 6_000
-#: Bytes by which suffixes are sorted at first.
-HEAD = 40
 #: Bytes that are sorted together, about.
-SORTED = 300_000
+SORTED = 400_000
+#: Bytes of an anchor's segments that one block takes; the segments of more are split.
+BLOCK = 1_000_000
+#: Bytes of an anchor's segments that may share a block with the other anchors of its region.
+FEW = 4_000
+#: Bytes of a text whose anchors share a block.
+REGION = 32_768
+#: Suffixes whose tails are compared at once.
+TIED = 50_000
 
 
 def _powers(ratio: int, n: int) -> np.ndarray:
@@ -55,7 +62,7 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, place, bytes before, bytes after, anchor hash, stretch hash) of the texts' anchors; places count from the
     text's first byte, "after" from the anchor's."""
-    k = length // 2
+    k = length // 3
     span = length - k + 1
     n = len(data)
     sizes = np.diff(offsets)
@@ -81,28 +88,101 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return text, place - offsets[:-1][text], before, after, range_hash(sums, place, place + k).astype(np.int64), stretch.astype(np.int64)
 
 
+def packed_anchors(row: np.ndarray, found: tuple[np.ndarray, ...], r1: np.ndarray, r2: np.ndarray) -> pa.RecordBatch:
+    """One row per distinct stretch of a block of texts: how often it stands there, its least and its largest place, and
+    all of them as runs (r1, r2, first place, places) where there are several."""
+    place, before, after, anchor, stretch = found
+    one, two = r1[row], r2[row]
+    order = np.lexsort((place, two, one, stretch, anchor))
+    one, two, place, before, after, anchor, stretch = (x[order] for x in (one, two, place, before, after, anchor, stretch))
+    new = np.ones(len(one), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])
+    run = new.copy()
+    run[1:] |= (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (place[1:] != place[:-1] + 1)
+    first, runs = np.flatnonzero(new), np.flatnonzero(run)
+    last = np.append(first[1:], len(one)) - 1
+    places = np.stack([one[runs], two[runs], place[runs], np.diff(runs, append=len(one))], axis=1).astype("<i8")
+    edges = np.searchsorted(runs, np.append(first, len(one)))
+    more = [places[a:b].tobytes() if several else None for a, b, several in zip(edges[:-1].tolist(), edges[1:].tolist(), (last > first).tolist(), strict=True)]
+    block = np.full(len(first), r1[row[0]], np.int64)
+    columns = [block, anchor[first], stretch[first], before[first].astype(np.int32), after[first].astype(np.int32), last - first + 1, one[first], two[first], place[first], one[last], two[last], place[last]]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more, pa.binary())], names=ROWS.names)
+
+
+class ROWS:
+    """The columns of packed anchors."""
+
+    names = ["block", "anchor", "stretch", "before", "after", "n", "r1", "r2", "place", "last1", "last2", "last_place", "more"]
+    schema = ", ".join(f"{c} {'int' if c in ('before', 'after') else 'binary' if c == 'more' else 'long'}" for c in names)
+
+
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(rid, place, before, after, anchor, stretch) of rows (rid, text). A long text is taken in slices that overlap,
-    so that every window lies in one."""
+    """The packed anchors of rows (r1, r2, text). A long text is taken in slices that overlap, so that every window lies
+    in one."""
 
     def run(batches):
         for batch in batches:
-            rids = batch.column(0).to_numpy()
-            for row, data, offsets in blocks(batch.column(1), SLICE):
+            r1, r2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, data, offsets in blocks(batch.column(2), SLICE):
                 if len(offsets) == 2 and len(data) > SLICE:
-                    parts = []
                     for low in range(0, len(data), SLICE // 2):
                         high = min(len(data), low + SLICE // 2 + length - 1)
-                        _, place, before, after, a, st = anchors(data[low:high], np.array([0, high - low]), length)
-                        parts.append(np.stack([place + low, before, after, a, st]))
-                    place, before, after, a, st = np.concatenate(parts, axis=1)
-                    text = np.zeros(len(place), np.int64)
+                        text, place, *rest = anchors(data[low:high], np.array([0, high - low]), length)
+                        if len(text):
+                            yield packed_anchors(row + text, (place + low, *rest), r1, r2)
                 else:
-                    text, place, before, after, a, st = anchors(data, offsets, length)
-                columns = [pa.array(rids[row + text]), pa.array(place), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(a), pa.array(st)]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "place", "before", "after", "anchor", "stretch"])
-
-    return docs.select("rid", "text").mapInArrow(run, "rid long, place long, before int, after int, anchor long, stretch long")
+                    text, *rest = anchors(data, offsets, length)
+                    if len(text):
+                        yield packed_anchors(row + text, tuple(rest), r1, r2)
+
+    return docs.select("r1", "r2", "text").mapInArrow(run, ROWS.schema)
+
+
+def heads(t: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros follow the end."""
+    x = np.concatenate([t, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):
+        x = x[:-width] << np.uint64(8 * width) | x[width:]
+    return x
+
+
+def sorted_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The places ``at``, which must fall, by the ``depth`` bytes from each on: by eight bytes, then ties by five more at
+    a time, then what is tied still by all the rest. Of equal ones that end the data the shorter comes first."""
+    if not len(at):
+        return at
+    head = heads(np.concatenate([t, np.zeros(depth, np.uint8)]))
+    order = at[np.argsort(head[at], kind="stable")]
+    group = np.cumsum(np.diff(head[order], prepend=head[order[:1]]) != 0)
+    known = 8
+    while known < depth:
+        where = np.flatnonzero(np.bincount(group)[group] > 1)
+        if not len(where):
+            return order
+        tied, of = order[where], group[where].astype(np.uint64)
+        if known < 23:
+            key = of << np.uint64(40) | head[tied + known] >> np.uint64(24)
+            by = np.argsort(key, kind="stable")
+            order[where] = tied[by]
+            key = key[by]
+            fresh = np.zeros(len(order), bool)
+            fresh[where] = np.diff(key, prepend=key[:1]) != 0
+            group = np.cumsum(fresh | (np.diff(group, prepend=0) != 0))
+            known += 5
+            continue
+        tails = np.lib.stride_tricks.sliding_window_view(np.concatenate([t, np.zeros(depth, np.uint8)]), depth - known)
+        cuts = np.flatnonzero(np.diff(of, prepend=of[:1] + np.uint64(1)))
+        a = 0
+        while a < len(tied):  # whole groups, as many as are compared at once
+            i = max(int(np.searchsorted(cuts, a + TIED, side="right")) - 1, int(np.searchsorted(cuts, a)) + 1)
+            b = int(cuts[i]) if i < len(cuts) and cuts[i] > a else len(tied)
+            rows = np.empty((b - a, 8 + depth - known), np.uint8)
+            rows[:, :8] = of[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)
+            rows[:, 8:] = tails[tied[a:b] + known]
+            order[where[a:b]] = tied[a:b][np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")]
+            a = b
+        return order
+    return order
 
 
 def suffix_array(data: bytes, depth: int) -> np.ndarray:
@@ -111,21 +191,15 @@ def suffix_array(data: bytes, depth: int) -> np.ndarray:
     Those smaller than their successors are sorted directly. The others follow by a scan over the buckets of first
     bytes: a suffix greater than its successor comes, in its bucket, before those sorted and in its successor's order.
     """
-    t = np.frombuffer(data, np.uint8).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    t = raw.astype(np.int64)
     n = len(t)
     if n == 0:
         return np.zeros(0, np.int64)
     step = np.append(np.sign(t[1:] - t[:-1]), -1)  # the last suffix is greater than the empty one
     known = np.flatnonzero(step)
     smaller = step[known[np.searchsorted(known, np.arange(n))]] > 0
-    direct = np.flatnonzero(smaller).tolist()
-    direct.sort(key=lambda i: data[i : i + HEAD])
-    heads = [data[i : i + HEAD] for i in direct]
-    ties = np.array([False, *map(eq, heads, heads[1:]), False], bool)
-    begins, ends = np.flatnonzero(~ties[:-1] & ties[1:]), np.flatnonzero(ties[:-1] & ~ties[1:]) + 1
-    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):  # ties in the head are sorted by the rest
-        direct[a:b] = sorted(direct[a:b], key=lambda i: data[i + HEAD : i + depth])
-    direct = np.array(direct, np.int64)
+    direct = sorted_directly(raw, np.flatnonzero(smaller)[::-1].copy(), depth)
     edges = np.searchsorted(t[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[t[-1]].append(np.array([n - 1]))  # the empty suffix comes first of all
@@ -153,7 +227,7 @@ def suffix_array(data: bytes, depth: int) -> np.ndarray:
 
 
 def repeated_windows(segments: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """(rid, first start, last start) of runs of windows in segments (rid, place of the first byte, bytes) that occur
+    """(text, first start, last start) of runs of windows in segments (text, place of the first byte, bytes) that occur
     at another place too. Segments can overlap; a window at one place counts once."""
     data = b"".join(s for _, _, s in segments)
     sizes = np.array([len(s) for _, _, s in segments])
@@ -162,7 +236,10 @@ def repeated_windows(segments: list[tuple[int, int, bytes]], length: int) -> lis
     owner = np.searchsorted(first, sa, side="right") - 1
     sa, owner = (x[sizes[owner] - (sa - first[owner]) >= length] for x in (sa, owner))
     # common prefixes of neighbours, as far as they matter: the whole length or less
-    alike = np.array([data[a : a + length] == data[b : b + length] for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True)], bool)
+    head = heads(np.frombuffer(data, np.uint8))
+    alike = (head[sa[:-1]] == head[sa[1:]]) & (head[sa[:-1] + length - 8] == head[sa[1:] + length - 8]) if length >= 8 else np.ones(max(len(sa) - 1, 0), bool)
+    maybe = np.flatnonzero(alike)
+    alike[maybe] = [data[a : a + length] == data[b : b + length] for a, b in zip(sa[maybe].tolist(), sa[maybe + 1].tolist(), strict=True)]
     rid = np.array([r for r, _, _ in segments], np.int64)[owner]
     start = np.array([p for _, p, _ in segments], np.int64)[owner] + sa - first[owner]
     run = np.cumsum(np.concatenate([[True], ~alike])) if len(sa) else np.zeros(0, np.int64)
@@ -185,76 +262,211 @@ def _runs(rid: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(rid[at].tolist(), start[at].tolist(), start[last].tolist(), strict=True)) if len(at) else []
 
 
-def segments_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, hot, rid, place, segment) of rows wanted (rid, list of (anchor, hot, place, size)): the bytes asked for."""
+ASK = "struct<key: long, hot: boolean, anchor: long, stretch: long, copy: int, place: long, before: int, after: int, confirm: boolean>"
+SEGMENT = f"key long, hot boolean, r1 long, r2 long, copy int, low long, segment binary, asks array<{ASK}>"
+FOUND = "r1 long, r2 long, low long, high long, anchor long, stretch long"
+
+
+def asked_for(rows: DataFrame) -> DataFrame:
+    """(r1, r2, asks) of packed anchors: the places of which each block needs the bytes. Two places stand for all of a
+    stretch; a repeated row of the table is a further copy of its text."""
+    lo, hi = F.struct("r1", "r2", "place"), F.struct(F.col("last1").alias("r1"), F.col("last2").alias("r2"), F.col("last_place").alias("place"))
+    stretches = rows.groupBy("anchor", "stretch", "before", "after").agg(F.sum("n").alias("n"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    stretches = stored(stretches.withColumn("size", (F.col("before") + F.col("after")) * F.when(F.col("n") > 1, 2).otherwise(1)), "stretches")
+    several = stretches.groupBy("anchor").agg(F.sum("n").alias("total"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("home")).filter("total > 1")
+    wanted = stretches.join(several, "anchor")
+    region = F.xxhash64("home.r1", "home.r2", F.floor(F.col("home.place") / REGION))
+    few, large = F.col("bytes") <= FEW, F.col("bytes") > BLOCK
+
+    def ask(rep: str, key, hot: bool, copy):
+        fields = {"key": key, "hot": F.lit(hot), "anchor": F.col("anchor"), "stretch": F.col("stretch"), "copy": copy, "place": F.col(f"{rep}.place"), "before": F.col("before"), "after": F.col("after"), "confirm": F.col("n") > 2}
+        return F.struct(F.col(f"{rep}.r1").alias("r1"), F.col(f"{rep}.r2").alias("r2"), F.struct(*(c.alias(k) for k, c in fields.items())).cast(ASK).alias("ask"))
+
+    block = F.when(few, region).otherwise(F.when(large, F.xxhash64("anchor", "stretch")).otherwise(F.xxhash64("anchor")))
+    again = F.when(F.col("lo") == F.col("hi"), 1).otherwise(0)
+    both = F.array(ask("lo", block, False, F.lit(0)), ask("hi", block, False, again))
+    none = F.array().cast(f"array<struct<r1: long, r2: long, ask: {ASK}>>")
+    alone = F.when(large, none).otherwise(F.array(ask("lo", block, False, F.lit(0))))
+    split = F.when(large & (F.col("kinds") > 1), F.array(ask("lo", F.xxhash64("anchor"), True, F.lit(0)))).otherwise(none)
+    each = wanted.select(F.explode(F.concat(F.when(F.col("n") > 1, both).otherwise(alone), split)).alias("a")).select("a.*")
+    return each.groupBy("r1", "r2").agg(F.collect_list("ask").alias("asks"))
+
+
+def segments_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """SEGMENT rows: the bytes asked for, those of one text and block that touch as one segment; hot ones singly."""
 
     def run(batches):
+        before = None
         for batch in batches:
             rows = []
-            for rid, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = text.encode()
-                rows += [(a["anchor"], a["hot"], rid, a["place"], data[a["place"] : a["place"] + a["size"]]) for a in asked]
+            for r1, r2, text, asks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (r1, r2) == before:  # a repeated row of the table
+                    continue
+                before, data = (r1, r2), text.encode()
+                asks.sort(key=lambda a: (a["hot"], a["key"], a["copy"], a["place"] - a["before"]))
+                held: list[dict] = []
+                for a in [*asks, None]:
+                    if held and (a is None or a["hot"] or (a["key"], a["copy"]) != (held[0]["key"], held[0]["copy"]) or a["place"] - a["before"] > high):
+                        low = held[0]["place"] - held[0]["before"]
+                        rows.append((held[0]["key"], held[0]["hot"], r1, r2, held[0]["copy"], low, data[low:high], [h for h in held if h["hot"] or h["confirm"]]))
+                        held = []
+                    if a is not None:
+                        high = max(high, a["place"] + a["after"]) if held else a["place"] + a["after"]
+                        held.append(a)
             if rows:
-                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["anchor", "hot", "rid", "place", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SEGMENT_TYPES, strict=True)], names=["key", "hot", "r1", "r2", "copy", "low", "segment", "asks"])
+
+    return docs.join(asked, ["r1", "r2"]).select("r1", "r2", "text", "asks").mapInArrow(run, SEGMENT)
 
-    lists = wanted.groupBy("rid").agg(F.collect_set(F.struct("anchor", "hot", "place", "size")).alias("asked"))
-    return docs.join(lists, "rid").select("rid", "text", "asked").mapInArrow(run, "anchor long, hot boolean, rid long, place long, segment binary").distinct()
+
+ASK_TYPE = pa.struct([("key", pa.int64()), ("hot", pa.bool_()), ("anchor", pa.int64()), ("stretch", pa.int64()), ("copy", pa.int32()), ("place", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("confirm", pa.bool_())])
+SEGMENT_TYPES = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(ASK_TYPE))
 
 
 def sorted_runs(segments: DataFrame, length: int) -> DataFrame:
-    """(rid, low, high): bytes covered by repeated windows, from suffix arrays over blocks of whole anchors."""
+    """FOUND rows from suffix arrays over blocks of whole keys: the bytes that repeated windows cover (r1, r2, low, high),
+    and the stretches (anchor, stretch) that were to be confirmed and are covered."""
+
+    def found(held):
+        texts: dict[tuple, int] = {}
+        own = [texts.setdefault((r1, r2, copy), len(texts)) for r1, r2, copy, _, _, _ in held]
+        runs = repeated_windows([(k, low, segment) for k, (_, _, _, low, segment, _) in zip(own, held, strict=True)], length)
+        names = list(texts)
+        out = [(*names[k][:2], a, b + length, None, None) for k, a, b in runs]
+        begins = np.array([(k << 40) + a for k, a, _ in runs], np.int64)
+        for k, (_, _, _, _, _, asks) in zip(own, held, strict=True):
+            for ask in asks:
+                first, last = ask["place"] - ask["before"], ask["place"] + ask["after"] - length
+                i = int(np.searchsorted(begins, (k << 40) + first, side="right")) - 1
+                if i >= 0 and runs[i][0] == k and runs[i][2] >= last:
+                    out.append((None, None, None, None, ask["anchor"], ask["stretch"]))
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["r1", "r2", "low", "high", "anchor", "stretch"])
 
     def run(batches):
-        held, size, anchor = [], 0, None
+        held, size, key = [], 0, None
         for batch in batches:
-            for a, rid, place, segment in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if a != anchor and size >= SORTED:
-                    yield out(repeated_windows(held, length))
+            for k, *rest in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if k != key and size >= SORTED:
+                    yield found(held)
                     held, size = [], 0
-                anchor = a
-                held.append((rid, place, segment))
-                size += len(segment)
+                key = k
+                held.append(rest)
+                size += len(rest[4])
         if held:
-            yield out(repeated_windows(held, length))
+            yield found(held)
+
+    ordered = segments.select("key", "r1", "r2", "copy", "low", "segment", "asks").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(run, FOUND)
+
 
-    def out(runs):
-        columns = list(zip(*[(r, a, b + length) for r, a, b in runs], strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rid", "low", "high"])
+HALF = "key long, content long, r1 long, r2 long, copy int, place long, least int, most int, low long, segment binary, cell_low int, cell_high int"
 
-    ordered = segments.select("anchor", "rid", "place", "segment").repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "rid long, low long, high long")
 
+def halves(parts: DataFrame, length: int) -> DataFrame:
+    """HALF rows of such rows: windows begin ``least`` to ``most`` bytes before the anchor, those of a key ``cell_low`` to
+    ``cell_high``. Either half's key is the hash of the bytes that all its windows hold."""
 
-def counted_windows(segments: DataFrame, length: int) -> DataFrame:
-    """(rid, low, high) of the windows that occur at another place, by their 128-bit hashes."""
+    def digest(*parts) -> int:
+        h = hashlib.blake2b(digest_size=8)
+        for p in parts:
+            h.update(p if isinstance(p, bytes) else int(p).to_bytes(8, "little", signed=True))
+        return int.from_bytes(h.digest(), "little", signed=True)
 
     def run(batches):
         for batch in batches:
-            for rid, place, segment in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = np.frombuffer(segment, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                if not len(at):
-                    continue
-                one, two = prefix_sums(data), prefix_sums(data ^ 0x5A)
-                yield pa.RecordBatch.from_arrays([pa.array(range_hash(s, at, at + length).astype(np.int64)) for s in (one, two)] + [pa.array(np.full(len(at), rid)), pa.array(place + at)], names=["w1", "w2", "rid", "low"])
+            rows = []
+            for key, _, r1, r2, copy, place, least, most, low, segment, cell_low, cell_high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mid = (cell_low + cell_high) // 2
+                for a, b in ((cell_low, mid), (mid + 1, cell_high)):
+                    near, far = max(least, a), min(most, b)
+                    if near > far:
+                        continue
+                    own = segment[place - far - low : place - near + length - low]
+                    shared = segment[place - a - low : place - b + length - low]
+                    rows.append((digest(key, a, b, shared), digest(near, far, own), r1, r2, copy, place, near, far, place - far, own, a, b))
+            types = [pa.binary() if c == "segment" else pa.int32() if c in ("copy", "least", "most", "cell_low", "cell_high") else pa.int64() for c in HALF_NAMES]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 12, types, strict=True)], names=HALF_NAMES)
+
+    return parts.select(*HALF_NAMES).mapInArrow(run, HALF)
+
+
+HALF_NAMES = [c.split()[0] for c in HALF.split(", ")]
+
+
+def split_runs(hot: DataFrame, length: int) -> DataFrame:
+    """(r1, r2, low, high) from SEGMENT rows of anchors too large for a block: halves again and again, until each key's
+    different contents fit one. Equal contents are met in two places, and only one of these goes on."""
+    out = hot.select("r1", "r2", "low", F.col("low").alias("high")).limit(0)
+    ask = F.col("asks")[0]
+    parts = hot.select("key", F.lit(0).cast("long").alias("content"), "r1", "r2", "copy", ask["place"].alias("place"), (F.lit(length) - ask["after"]).alias("least"), ask["before"].alias("most"), "low", "segment", F.lit(0).alias("cell_low"), F.lit(length - length // 3).alias("cell_high"))
+    for _ in range(length.bit_length() + 1):
+        if parts.isEmpty():
+            break
+        rows = stored(halves(parts, length), "halves")
+        place = F.struct("r1", "r2", "copy", "place", "low")
+        contents = rows.groupBy("key", "content").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), *(F.first(c).alias(c) for c in ("least", "most", "segment", "cell_low", "cell_high")))
+        contents = stored(contents, "contents")
+        kinds = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("segment")).alias("bytes"))
+        sized = stored(contents.join(kinds, "key"), "kinds")
+        one = lambda rep, key, confirm: F.struct(key.alias("key"), F.lit(False).alias("hot"), *(F.col(f"{rep}.{c}").alias(c) for c in ("r1", "r2", "copy", "low")), F.col("segment"), confirm.alias("asks"))
+        nothing = F.array().cast(f"array<{ASK}>")
+        whole = F.struct(F.lit(0), F.lit(False), F.col("key"), F.col("content"), F.lit(0), F.col("lo.place"), F.col("most"), F.lit(length) - F.col("least"), F.lit(True)).cast(ASK)
+        pair = F.xxhash64("key", "content", F.lit(1))
+        several = F.when(F.col("lo") != F.col("hi"), F.array(one("lo", pair, F.array(whole)), one("hi", pair, nothing)))
+        block = F.when((F.col("kinds") > 1) & (F.col("bytes") <= BLOCK), F.array(one("lo", F.col("key"), nothing)))
+        kind = f"array<struct<{', '.join(': '.join(c.split(' ', 1)) for c in SEGMENT.split(', ', 7))}>>"
+        segments = sized.select(F.explode(F.concat(*(F.coalesce(c.cast(kind), F.array().cast(kind)) for c in (several, block)))).alias("s")).select("s.*")
+        found = stored(sorted_runs(segments, length), "split-runs")
+        alike = found.filter("anchor is not null").select(F.col("anchor").alias("key"), F.col("stretch").alias("content"))
+        copies = rows.join(alike, ["key", "content"], "left_semi").select("r1", "r2", "low", (F.col("low") + F.octet_length("segment")).alias("high"))
+        out = out.union(found.filter("anchor is null").select("r1", "r2", "low", "high")).union(copies)
+        parts = sized.filter((F.col("kinds") > 1) & (F.col("bytes") > BLOCK)).select("key", "content", *(F.col(f"lo.{c}").alias(c) for c in ("r1", "r2", "copy", "place")), "least", "most", F.col("lo.low").alias("low"), "segment", "cell_low", "cell_high")
+    return out
+
+
+def further_places(rows: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(r1, r2, low, high) of all places of the confirmed stretches (anchor, stretch), by the blocks that packed them."""
 
-    rows = stored(segments.select("rid", "place", "segment").mapInArrow(run, "w1 long, w2 long, rid long, low long").distinct(), "windows")
-    many = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    return rows.join(many, ["w1", "w2"]).select("rid", "low", (F.col("low") + length).alias("high"))
+    def run(batches):
+        block, held = None, []
+        for batch in batches:
+            for b, *rest in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if b != block and held:
+                    yield out(held)
+                    held = []
+                block = b
+                held.append(rest)
+        if held:
+            yield out(held)
+
+    def out(held):
+        parts = [np.frombuffer(more, "<i8").reshape(-1, 4) if more is not None else np.array([[r1, r2, place, 1]]) for _, _, r1, r2, place, more in held]
+        sizes = [len(p) for p in parts]
+        p = np.concatenate(parts)
+        before, after = (np.repeat([h[i] for h in held], sizes) for i in (0, 1))
+        low, high = p[:, 2] - before, p[:, 2] + p[:, 3] - 1 + after
+        order = np.lexsort((low, p[:, 1], p[:, 0]))
+        one, two, low, high = p[order, 0], p[order, 1], low[order], high[order]
+        # ranges of one text that touch are one
+        text = np.cumsum((np.diff(one, prepend=one[:1]) != 0) | (np.diff(two, prepend=two[:1]) != 0))
+        upto = np.maximum.accumulate(high + (text << 40)) - (text << 40)
+        new = np.ones(len(low), bool)
+        new[1:] = (text[1:] != text[:-1]) | (low[1:] > upto[:-1])
+        first = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (one[first], two[first], low[first], upto[np.append(first[1:], len(low)) - 1])], names=["r1", "r2", "low", "high"])
+
+    hit = rows.join(confirmed.distinct(), ["anchor", "stretch"], "left_semi").select("block", "before", "after", "r1", "r2", "place", "more")
+    return hit.repartition("block").sortWithinPartitions("block").mapInArrow(run, "r1 long, r2 long, low long, high long")
 
 
 def coverage(docs: DataFrame, length: int) -> DataFrame:
-    """(rid, low, high): byte ranges, as they come, whose union is what repeated windows cover in rows (rid, text)."""
+    """(r1, r2, low, high): byte ranges, as they come, whose union is what repeated windows cover in rows (r1, r2, text)."""
     rows = stored(anchor_rows(docs, length), "anchors")
-    rep = F.min(F.struct("rid", "place", "before", "after")).alias("rep")
-    stretches = stored(rows.groupBy("anchor", "stretch").agg(F.count(F.lit(1)).alias("n"), rep), "stretches")
-    mixed = stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1")
-    wanted = stretches.join(mixed, "anchor").select("rep.rid", "anchor", (F.col("kinds") > STRETCHES).alias("hot"), (F.col("rep.place") - F.col("rep.before")).alias("place"), (F.col("rep.before") + F.col("rep.after")).alias("size"))
-    segments = stored(segments_of(docs, wanted), "segments")
-    equal = stretches.filter("n > 1").select("anchor", "stretch")
-    whole = rows.join(equal, ["anchor", "stretch"], "left_semi").select("rid", (F.col("place") - F.col("before")).alias("low"), (F.col("place") + F.col("after")).alias("high"))
-    return whole.union(sorted_runs(segments.filter("not hot"), length)).union(counted_windows(segments.filter("hot"), length))
+    segments = stored(segments_of(docs, asked_for(rows)), "segments")
+    found = stored(sorted_runs(segments.filter("not hot"), length), "runs")
+    further = further_places(rows, found.filter("anchor is not null").select("anchor", "stretch"))
+    return found.filter("anchor is null").select("r1", "r2", "low", "high").union(further).union(split_runs(segments.filter("hot"), length))
 
 
 def merged(ranges: list[dict], size: int) -> list[tuple[int, int]]:
@@ -267,20 +479,24 @@ def merged(ranges: list[dict], size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary; with ``as_text`` a string without the
-    characters that lost a byte), and the columns named in ``carry``.
+def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), text (these, without
+    the characters that lost a byte), and the columns named in ``carry``.
 
     A byte goes if it lies in a ``length``-byte string of its text that starts anywhere else, in the same text too;
     strings are judged on the input. Texts shorter than that, null and empty texts lose nothing. Rows are documents:
     a repeated row is a copy, and both lose what they share. Null ids are kept. An empty table gives no rows.
     """
+    if length < 24:
+        raise ValueError("a passage of 24 bytes at least is meant")
     ready_python(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = [df.schema[c] for c in carry]
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    spans = coverage(docs.select("rid", "text"), length).groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    joined = docs.join(spans, "rid", "left").select("doc_id", "text", "spans", *(f"carry_{c}" for c in carry))
+    names = F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(text, F.lit(1), F.col(id_col)).alias("r2")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *names, *(F.col(c).alias(f"carry_{c}") for c in carry))
+    spans = coverage(docs.select("r1", "r2", "text"), length).groupBy("r1", "r2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    joined = docs.join(spans, ["r1", "r2"], "left").select("doc_id", "text", "spans", *(f"carry_{c}" for c in carry))
+    kinds = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "text": "string"}
 
     def run(batches):
         for batch in batches:
@@ -293,9 +509,9 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
                     kept.append(data[at:a])
                     at = b
                 left = [*kept, data[at:]]  # each piece is decoded by itself: bytes of two cut characters never join
-                out.append((len(data), sum(b - a for a, b in cut), len(cut), "".join([p.decode("utf-8", "ignore") for p in left]) if as_text else b"".join(left)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+                out.append((len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(b"".join(left)).hexdigest(), "".join([p.decode("utf-8", "ignore") for p in left])))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(batch.column(3 + k) for k in range(len(rest)))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *(batch.column(3 + k) for k in range(len(rest)))], names=[*kinds, *carry])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary") + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rest))
+    return joined.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + "".join(f", {f.name} {f.dataType.simpleString()}" for f in rest))

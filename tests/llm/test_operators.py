@@ -140,26 +140,70 @@ def test_similar_sets_share_a_signature():
             assert len(np.intersect1d(shingles.signatures(a), shingles.signatures(b)))
 
 
-def test_suffix_array_and_repeats(docs):
-    rng = random.Random(0)
-    for _ in range(200):
-        b = bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 60)))
-        assert repeats.suffix_array(b, 100).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
-    rows = [(i, t.encode()) for i, t in rows_of(docs)]
+def without_repeats(rows, size):
+    """(id, bytes removed, spans, digest of the rest, the rest) by looking at every window."""
     seen: dict[bytes, int] = {}
     for _, b in rows:
-        for k in range(len(b) - 399):
-            seen[b[k : k + 400]] = seen.get(b[k : k + 400], 0) + 1
-    want = []
+        for k in range(len(b) - size + 1):
+            seen[b[k : k + size]] = seen.get(b[k : k + size], 0) + 1
+    out = []
     for i, b in rows:
         gone = bytearray(len(b))
-        for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
-                gone[k : k + 400] = b"\1" * 400
-        want.append((str(i), sum(gone), bytes(x for x, g in zip(b, gone) if not g)))
-    got = [(str(r["doc_id"]), r["n_removed"], bytes(r["kept"])) for r in repeats.remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want)
+        for k in range(len(b) - size + 1):
+            if seen[b[k : k + size]] > 1:
+                gone[k : k + size] = b"\1" * size
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k, g in enumerate(gone) if g and not (k and gone[k - 1]))
+        out.append((str(i), sum(gone), spans, hashlib.sha256(left).hexdigest()))
+    return sorted(out)
+
+
+def removed(table, size):
+    return sorted((str(r["doc_id"]), r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(table, size).collect())
+
+
+def test_suffix_array(monkeypatch):
+    rng = random.Random(0)
+    for letters in (b"ab\x00\xff", b"a", b"abc"):
+        for _ in range(100):
+            b = bytes(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+            b += b[: rng.randint(0, 60)]
+            assert repeats.suffix_array(b, 130).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    b = bytes(rng.choice(b"abc") for _ in range(1500))
+    b = b + b"x" + b[:900] + b"y" + b
+    for tied in (repeats.TIED, 40):
+        monkeypatch.setattr(repeats, "TIED", tied)
+        assert repeats.suffix_array(b, 4000).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
+def test_repeats(docs):
+    got = removed(docs, 400)
+    assert got == without_repeats([(i, t.encode()) for i, t in rows_of(docs)], 400)
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+    text = {str(r["doc_id"]): r["text"] for r in repeats.remove_repeats(docs).collect()}
+    assert text["7"] == "" and text["4"] == "one two"
+
+
+def hot_rows():
+    """Documents around one passage: longer, shorter and as long as what is looked for, some whole copies."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot = noise(300)
+    rows = []
+    for k in range(90):
+        part = hot[rng.randint(0, 60) : 300 - rng.randint(0, 150)] if k % 3 else hot
+        same = "q" * 30 if k % 5 == 0 else noise(30)  # surroundings that some share
+        rows.append((k, noise(rng.randint(0, 90)) + same + part + noise(rng.randint(0, 200))))
+    return rows + [(200, rows[0][1]), (201, rows[0][1]), (201, rows[0][1]), (202, "ab" * 700), (203, "z" * 900)]
+
+
+@pytest.mark.parametrize("block", [1_000_000, 2_500, 300])
+def test_hot_anchors_are_split(spark, monkeypatch, block):
+    """Blocks so small that anchors of many different stretches go down to halves, to single windows at the last."""
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "FEW", min(repeats.FEW, block // 2))
+    rows = hot_rows()
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string"), 120) == without_repeats([(i, t.encode()) for i, t in rows], 120)
 
 
 def test_long_texts_are_sliced(monkeypatch):
