@@ -2,12 +2,12 @@
 
 A text is cut where its own content says so, each chunk gets an identifier, and documents are compared by their
 ordered identifier lists: a long document moves once, as chunks that equal chunks elsewhere absorb before the
-shuffle, and afterwards only its list of 8-byte identifiers moves.
+shuffle, and afterwards only its list of 16-byte identifiers moves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import ascii_lower, stored
@@ -16,12 +16,18 @@ from scriptloom.llm.common import ascii_lower, stored
 CHUNK_PATTERN = r"(?s).{1024,8192}?(?:(?<=[nst]\s[a-h])|\z)|.{1,8192}"
 
 
+def identifier(chunk: Column) -> Column:
+    """128 bits of a chunk's content."""
+    return F.struct(F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit(1), chunk, F.lit(2)).alias("b"))
+
+
 def chunk_recipes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, recipe array<long>, n_bytes, text_sha256) of the normalised texts; null text counts as empty."""
+    """Rows (doc_id, recipe, an array of identifiers, n_bytes, text_sha256) of the normalised texts; null text counts as
+    empty."""
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     return df.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
         "doc_id",
-        F.transform(F.regexp_extract_all("t", F.lit(CHUNK_PATTERN), F.lit(0)), lambda c: F.xxhash64(c)).alias("recipe"),
+        F.transform(F.regexp_extract_all("t", F.lit(CHUNK_PATTERN), F.lit(0)), identifier).alias("recipe"),
         F.octet_length("t").alias("n_bytes"),
         F.sha2("t", 256).alias("text_sha256"),
     )
@@ -32,7 +38,7 @@ def colliding_identifiers(df: DataFrame, text_col: str) -> DataFrame:
     absorbed on the map side, so a group of copies of any size costs one chunk per task."""
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     chunks = df.select(F.explode(F.regexp_extract_all(text, F.lit(CHUNK_PATTERN), F.lit(0))).alias("c"))
-    distinct = chunks.select(F.xxhash64("c").alias("h"), "c").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
+    distinct = chunks.select(identifier(F.col("c")).alias("h"), "c").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
     return distinct.groupBy("h").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("h")
 
 
@@ -45,10 +51,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     columns are ignored, whatever their names.
     """
     recipes = stored(chunk_recipes(df, id_col, text_col), "recipes")
-    key = ["recipe", "n_bytes"]
-    if not colliding_identifiers(df, text_col).isEmpty():
-        # Two chunk contents share a 64-bit identifier: lists of contents' SHA-256 take the lists' place.
-        key = ["text_sha256"]
+    key = ["recipe", "n_bytes", "tie"]
+    recipes = recipes.withColumn("tie", F.lit(""))
+    shared = colliding_identifiers(df, text_col)
+    if not (shared := stored(shared, "colliding")).isEmpty():
+        # where contents share an identifier, the lists that hold it stand for more than one text: its digest decides
+        doubtful = recipes.select("recipe", "n_bytes", F.explode("recipe").alias("h")).join(shared, "h", "left_semi").select("recipe", "n_bytes", F.lit(True).alias("doubtful")).distinct()
+        recipes = recipes.join(doubtful, ["recipe", "n_bytes"], "left").withColumn("tie", F.when(F.col("doubtful"), F.col("text_sha256")).otherwise(""))
     groups = stored(recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return recipes.join(groups, key).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
