@@ -207,30 +207,33 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     return texts.mapInArrow(cut, PIECES)
 
 
-def best_fit_packing(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", salts: int = 128) -> DataFrame:
+def best_fit_packing(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", share: int = 1 << 20, **search: int) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    ``search`` has limits of ``bin_completion``, which bound its time on the driver and leave no piece out; a task ranks
+    about ``share`` pieces of one length.
+
     Only documents longer than ``capacity`` are cut, into pieces of that length; the last may be shorter. Null or
     empty text: one piece that holds the end id alone. Null ids stay null, repeated rows are packed each, ties in
     length are ranked by id and piece. An empty table gives no rows. Other columns are ignored.
     """
     pieces = stored(token_pieces(df, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    # capacity * salts rows at most, whatever the corpus
-    shares = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    table = shares.toPandas().sort_values(["length", "salt"])
+    salts = 128 + pieces.count() // share
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    shares = stored(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "shares")
     counts = np.zeros(capacity + 1, np.int64)
-    np.add.at(counts, table["length"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
-    slots = Slots(bin_completion(counts, capacity))
-    before = np.zeros((capacity + 1) * salts, np.int64)
-    sums = table.groupby("length")["n"].cumsum() - table["n"]
-    before[table["length"].to_numpy(np.int64) * salts + table["salt"].to_numpy(np.int64)] = sums.to_numpy(np.int64)
+    for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length
+        counts[r["length"]] = r["n"]
+    slots = Slots(bin_completion(counts, capacity, **search))
+    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
+    shares = shares.select("length", "salt", earlier.alias("earlier"))
 
     def assign(batches):
         for batch in batches:
-            length, salt, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
-            sequence, offset = slots.place(length, before[length * salts + salt] + rank)
+            length, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5))
+            sequence, offset = slots.place(length, rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", rank.cast("long").alias("rank")).mapInArrow(assign, PIECES + ", sequence_id long, offset long")
+    ranked = pieces.withColumn("rank", rank.cast("long")).join(shares, ["length", "salt"])
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("earlier") + F.col("rank")).alias("rank")).mapInArrow(assign, PIECES + ", sequence_id long, offset long")
