@@ -98,27 +98,36 @@ def parse_head(jpeg: bytes) -> tuple[int, np.ndarray]:
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
     """(n, FRAME) samples; every frame is decoded from its own data alone."""
     out = np.empty((len(jpegs), FRAME), np.uint8)
-    heads: dict[bytes, tuple[int, np.ndarray]] = {}
-    for i in range(0, len(jpegs), BLOCK):
-        part = jpegs[i : i + BLOCK]
-        scans = []
-        for jpeg in part:
-            key = jpeg[: len(HEAD)]
-            if key not in heads:
-                heads[key] = parse_head(jpeg)
-            scans.append(jpeg[heads[key][0] : -2].replace(b"\xff\x00", b"\xff"))
-        table = heads[part[0][: len(HEAD)]][1]
-        b = np.frombuffer(b"".join(scans), np.uint8).reshape(len(part), FRAME // 8, WIDTH).astype(np.uint16)
-        d = np.empty((len(part), FRAME // 8, 8), np.int16)
-        for k in range(8):
-            d[:, :, k] = table[((b[:, :, k] << 8 | b[:, :, k + 1]) >> (7 - k)) & 0x1FF]
-        d = d.reshape(-1, SIDE, SIDE)
-        d[:, 0, 0] += 128
-        d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1, dtype=np.int16)
-        out[i : i + len(part)] = np.cumsum(d, axis=2, dtype=np.int16).reshape(len(part), FRAME).astype(np.uint8)
+    alike: dict[bytes, list[int]] = {}  # frames by their heads, which have the Huffman tables
+    for i, jpeg in enumerate(jpegs):
+        alike.setdefault(jpeg[: parse_end(jpeg)], []).append(i)
+    for head, frames in alike.items():
+        at, table = parse_head(head)
+        for i in range(0, len(frames), BLOCK):
+            part = frames[i : i + BLOCK]
+            out[part] = decode_scans([jpegs[k][at:-2].replace(b"\xff\x00", b"\xff") for k in part], table)
     return out
 
 
+def parse_end(jpeg: bytes) -> int:
+    """Where the scan data begins."""
+    if jpeg.startswith(HEAD):
+        return len(HEAD)
+    return parse_head(jpeg)[0]
+
+
+def decode_scans(scans: list[bytes], table: np.ndarray) -> np.ndarray:
+    """Samples of frames that share a table of coded words."""
+    b = np.frombuffer(b"".join(scans), np.uint8).reshape(len(scans), FRAME // 8, WIDTH).astype(np.uint16)
+    d = np.empty((len(scans), FRAME // 8, 8), np.int16)
+    for k in range(8):
+        d[:, :, k] = table[((b[:, :, k] << 8 | b[:, :, k + 1]) >> (7 - k)) & 0x1FF]
+    d = d.reshape(-1, SIDE, SIDE)
+    d[:, 0, 0] += 128
+    d[:, :, 0] = np.cumsum(d[:, :, 0], axis=1, dtype=np.int16)
+    return np.cumsum(d, axis=2, dtype=np.int16).reshape(len(scans), FRAME).astype(np.uint8)
+
+
 def chunk(tag: bytes, data: bytes) -> bytes:
     return tag + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
 
@@ -224,7 +233,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
 
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row, from the stored bytes as read back: doc_id, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature (frames, clips, and the frames that begin a shot).
+    tail_crc32, media_bytes, media_sha256, feature (the frames, and the clips by their first and last second).
 
     Null or empty text: one frame of 255. Rows are independent, so ties and repeats give equal rows; a null id stays
     null; an empty table gives no rows; other columns are ignored.
@@ -235,8 +244,7 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         media = write_avi(encode_frames(np.frombuffer(payload, np.uint8).reshape(-1, FRAME)))
         frames = decode_frames(read_avi(media))
         back = frames.tobytes()
-        begins = cuts(frames).tolist()
-        feature = f"frames={len(frames)};clips={len(begins) + 1};cuts={','.join(map(str, begins))}"
+        feature = f"frames={len(frames)};clips={','.join(f'{start:.3f}-{end:.3f}' for _, _, _, start, end in clips(frames))}"
         yield i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
