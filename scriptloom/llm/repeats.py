@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import ready_python, stored
+from scriptloom.llm.common import drop, noted, ready_python, stored
 from scriptloom.llm.textnum import blocks, mix
 
 _RNG = np.random.default_rng(11)
@@ -267,12 +267,16 @@ SEGMENT = f"key long, hot boolean, r1 long, r2 long, copy int, low long, segment
 FOUND = "r1 long, r2 long, low long, high long, anchor long, stretch long"
 
 
-def asked_for(rows: DataFrame) -> DataFrame:
-    """(r1, r2, asks) of packed anchors: the places of which each block needs the bytes. Two places stand for all of a
-    stretch; a repeated row of the table is a further copy of its text."""
+def stretches_of(rows: DataFrame) -> DataFrame:
+    """One row per stretch of packed anchors, with its least and its largest place."""
     lo, hi = F.struct("r1", "r2", "place"), F.struct(F.col("last1").alias("r1"), F.col("last2").alias("r2"), F.col("last_place").alias("place"))
     stretches = rows.groupBy("anchor", "stretch", "before", "after").agg(F.sum("n").alias("n"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
-    stretches = stored(stretches.withColumn("size", (F.col("before") + F.col("after")) * F.when(F.col("n") > 1, 2).otherwise(1)), "stretches")
+    return stretches.withColumn("size", (F.col("before") + F.col("after")) * F.when(F.col("n") > 1, 2).otherwise(1))
+
+
+def asked_for(stretches: DataFrame) -> DataFrame:
+    """(r1, r2, asks): the places of which each block needs the bytes. Two places stand for all of a stretch; a repeated
+    row of the table is a further copy of its text."""
     several = stretches.groupBy("anchor").agg(F.sum("n").alias("total"), F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("home")).filter("total > 1")
     wanted = stretches.join(several, "anchor")
     region = F.xxhash64("home.r1", "home.r2", F.floor(F.col("home.place") / REGION))
@@ -462,11 +466,18 @@ def further_places(rows: DataFrame, confirmed: DataFrame) -> DataFrame:
 
 def coverage(docs: DataFrame, length: int) -> DataFrame:
     """(r1, r2, low, high): byte ranges, as they come, whose union is what repeated windows cover in rows (r1, r2, text)."""
-    rows = stored(anchor_rows(docs, length), "anchors")
-    segments = stored(segments_of(docs, asked_for(rows)), "segments")
-    found = stored(sorted_runs(segments.filter("not hot"), length), "runs")
-    further = further_places(rows, found.filter("anchor is not null").select("anchor", "stretch"))
-    return found.filter("anchor is null").select("r1", "r2", "low", "high").union(further).union(split_runs(segments.filter("hot"), length))
+    spark = docs.sparkSession
+    with noted() as made:
+        rows = stored(anchor_rows(docs, length), "anchors")
+        stretches = stored(stretches_of(rows), "stretches")
+        segments = stored(segments_of(docs, asked_for(stretches)), "segments")
+        drop(spark, stretches)
+        found = stored(sorted_runs(segments.filter("not hot"), length), "runs")
+        split = split_runs(segments.filter("hot"), length)
+        further = further_places(rows, found.filter("anchor is not null").select("anchor", "stretch"))
+        ranges = stored(found.filter("anchor is null").select("r1", "r2", "low", "high").union(further).union(split), "ranges")
+    drop(spark, *(path for path in made if path != ranges.stored_at))
+    return ranges
 
 
 def merged(ranges: list[dict], size: int) -> list[tuple[int, int]]:
