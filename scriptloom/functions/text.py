@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ SHORT_HOST = "youtu.be"
 ID_PATHS = ["shorts", "embed", "live", "v"]
 
 
+def strip_space(text: Column) -> Column:
+    """Without the white space, as Unicode has it, at both ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse_space(text: Column) -> Column:
     """Runs of Unicode white space become one space; none is left at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -37,12 +49,12 @@ def token_estimate(text: Column) -> Column:
 def starts_with_cue(text: Column, cues: list[str]) -> Column:
     """Whether the text, lower-cased and without leading quotes and dashes, begins with a cue (no word boundary)."""
     wanted = [c.strip().lower() for c in cues if c.strip()]
-    head = F.regexp_replace(F.trim(F.lower(text)), CUE_LEAD, "")
+    head = F.regexp_replace(strip_space(F.lower(text)), CUE_LEAD, "")
     return F.exists(F.array(*map(F.lit, wanted)), lambda c: F.startswith(head, c)) if wanted else F.lit(False)
 
 
 def ends_sentence(text: Column) -> Column:
-    return F.rtrim(F.rtrim(text), F.lit("\"'’)] ")).rlike(r"[.!?]\z")
+    return F.rtrim(strip_space(text), F.lit("\"'’)] ")).rlike(r"[.!?]\z")
 
 
 def run_id_valid(name: Column) -> Column:
@@ -51,7 +63,7 @@ def run_id_valid(name: Column) -> Column:
 
 def video_id(url: Column) -> Column:
     """The 11-character id of a bare id, a watch page, a short link or a shorts, embed, live or v path; else null."""
-    text = F.trim(url)
+    text = strip_space(url)
     valid = lambda c: F.when(c.rlike(r"\A[A-Za-z0-9_-]{11}\z"), c)
     host = F.regexp_replace(F.lower(F.try_parse_url(text, F.lit("HOST"))), r"^www\.", "")
     path = F.filter(F.split(F.coalesce(F.try_parse_url(text, F.lit("PATH")), F.lit("")), "/"), lambda p: p != "")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A character other than white space, as Unicode has it.
+SOLID = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # The kinds of edit.
 OPS = ["create", "append", "replace", "property", "include"]
 
@@ -20,7 +24,7 @@ def first_error(chunk_id: Column, seq: Column, op: Column, file: Column, anchor:
         .when(file == "", "file")
         .when(file.rlike(r"[/\\]") | file.startswith("."), "bare name")
         .when(~file.endswith(".mq5"), "extension")
-        .when((op == "replace") & (F.trim(text(anchor)) == ""), "anchor")
+        .when((op == "replace") & ~text(anchor).rlike(r"(?U)\S"), "anchor")
         .when((op != "replace") & (text(code) == ""), "code")
     )
 
@@ -41,7 +45,7 @@ def violation(chunk_id: str, event: object) -> str | None:
     op, file, anchor, code = (chars[name] or "" for name in ("op", "file", "anchor", "code"))
     broken = {
         "chunk_id": not chunk_id, "op": op not in OPS, "file": not file, "bare name": "/" in file or "\\" in file or file.startswith("."),
-        "extension": not file.endswith(".mq5"), "anchor": op == "replace" and not anchor.strip(), "code": op != "replace" and not code,
+        "extension": not file.endswith(".mq5"), "anchor": op == "replace" and not SOLID.search(anchor), "code": op != "replace" and not code,
     }
     return next((rule for rule, is_broken in broken.items() if is_broken), None)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptloom.functions.text import strip_space
+
 TOKEN = r"[\p{L}\p{Nd}_]+|(?U:\S)"
 
 
@@ -22,7 +24,7 @@ def strip_comments(source: Column) -> Column:
         opens = ~closed & F.contains(line, F.lit("/*"))
         # regexp_replace would take every block comment of the line, the fold takes the first only
         first = F.concat(F.substring_index(line, "/*", 1), F.regexp_replace(line, r"^[\s\S]*?/\*[\s\S]*?\*/", ""))
-        text = F.trim(F.when(closed, first).when(opens, F.substring_index(line, "/*", 1)).otherwise(line))
+        text = strip_space(F.when(closed, first).when(opens, F.substring_index(line, "/*", 1)).otherwise(line))
         return F.struct((still | opens).alias("open"), F.when(text == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(text))).alias("lines"))
 
     return F.aggregate(F.split(source, "\n"), F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("lines")), step, lambda s: s["lines"])
@@ -42,13 +44,13 @@ def token_counts(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     return df.select(*keys, F.explode(tokens(text)).alias("tok")).groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("n"))
 
 
-def compare(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, golden_tokens, output_tokens, precision, recall, f1) of pairs (key, golden, output), both without their
-    comments; 0 where empty."""
-    g = token_counts(pairs, [key], stripped(F.col("golden"))).withColumnRenamed("n", "g")
-    o = token_counts(pairs, [key], stripped(F.col("output"))).withColumnRenamed("n", "o")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    joined = g.join(o, [key, "tok"], "full").groupBy(key).agg(F.sum(zero(F.col("g"))).alias("golden_tokens"), F.sum(zero(F.col("o"))).alias("output_tokens"), F.sum(F.least(zero(F.col("g")), zero(F.col("o")))).alias("matched"))
-    scored = pairs.select(key).join(joined, key, "left").na.fill(0, ["golden_tokens", "output_tokens", "matched"])
+def compare(pairs: DataFrame, key: str = "pair_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``carry``, golden_tokens, output_tokens, precision, recall, f1) of pairs (key, golden, output), both without
+    their comments; 0 where empty. The pairs are dealt by key once, and both counts stay where they are."""
+    one = lambda side, g, o: F.transform(tokens(stripped(F.coalesce(side, F.lit("")))), lambda t: F.struct(t.alias("tok"), F.lit(g).alias("g"), F.lit(o).alias("o")))
+    both = F.concat(one(F.col("golden"), 1, 0), one(F.col("output"), 0, 1))
+    each = pairs.repartition(key).select(key, *carry, F.explode_outer(both).alias("t")).select(key, *carry, F.col("t.tok").alias("tok"), F.coalesce("t.g", F.lit(0)).alias("g"), F.coalesce("t.o", F.lit(0)).alias("o"))
+    counted = each.groupBy(key, *carry, "tok").agg(F.sum("g").alias("g"), F.sum("o").alias("o"))
+    scored = counted.groupBy(key, *carry).agg(F.sum("g").alias("golden_tokens"), F.sum("o").alias("output_tokens"), F.sum(F.least("g", "o")).alias("matched"))
     p, r = (F.when(F.col(c) > 0, F.col("matched") / F.col(c)).otherwise(0.0) for c in ("output_tokens", "golden_tokens"))
-    return scored.select(key, "golden_tokens", "output_tokens", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+    return scored.select(key, *carry, "golden_tokens", "output_tokens", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))

@@ -26,22 +26,23 @@ def hard_groups(lines: DataFrame, config: SegmentConfig) -> DataFrame:
 
 
 def _fold(lines: Column, config: SegmentConfig) -> Column:
-    """Chunks (arrays of lines) of one hard group's ordered lines. The state has the finished chunks and the current
-    one; a full chunk ends after its last sentence that is not its first line, and the rest is carried over."""
+    """Chunks (arrays of lines) of one hard group's ordered lines. The state has the finished chunks, the current one and
+    its tokens; a full chunk ends after its last sentence that is not its first line, and the rest is carried over."""
     kind = "array<struct<start: double, ord: bigint, end: double, text: string, tokens: int, stop: boolean>>"
     none = F.array().cast(kind)
 
     def step(state: Column, line: Column) -> Column:
         cur = state["cur"]
-        total = F.aggregate(cur, F.lit(0), lambda a, x: a + x["tokens"]) + line["tokens"]
+        total = state["total"] + line["tokens"]
         full = (F.size(cur) > 0) & ((total > config.max_tokens) | (line["end"] - F.get(cur, F.lit(0))["start"] > config.max_seconds))
         cut = F.coalesce(F.array_max(F.transform(cur, lambda x, i: F.when((i >= 1) & x["stop"], i + 1))), F.size(cur))
         return F.when(full, F.struct(
             F.concat(state["done"], F.array(F.slice(cur, F.lit(1), cut))).alias("done"),
             F.concat(F.slice(cur, cut + 1, F.size(cur)), F.array(line)).alias("cur"),
-        )).otherwise(F.struct(state["done"].alias("done"), F.concat(cur, F.array(line)).alias("cur")))
+            F.aggregate(F.slice(cur, cut + 1, F.size(cur)), line["tokens"], lambda a, x: a + x["tokens"]).alias("total"),
+        )).otherwise(F.struct(state["done"].alias("done"), F.concat(cur, F.array(line)).alias("cur"), total.alias("total")))
 
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), none.alias("cur"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), none.alias("cur"), F.lit(0).alias("total"))
     return F.aggregate(lines, start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]))
 
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.functions.text import snippet
+from scriptloom.functions.text import bind, snippet, strip_space
 
 # Comments, strings and character literals; possessive, so that long ones need no stack.
 NOISE = r"""//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+(?:'|\\?\z)"""
@@ -51,17 +51,21 @@ def has_strict(source: Column) -> Column:
     return F.contains(source, F.lit("#property strict"))
 
 
+def code_lines(source: Column) -> Column:
+    """The lines without white space at their ends that are neither blank nor a // comment."""
+    return F.filter(F.transform(F.split(source, "\n"), strip_space), lambda x: (x != "") & ~x.startswith("//"))
+
+
 def artifact_lines(source: Column) -> Column:
     """(line, mark) for each trimmed line that is neither blank nor a // comment and holds a mark as a word."""
-    lines = F.filter(F.transform(F.split(source, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("//"))
-    marks = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(says).alias("mark")) for p, says in ARTIFACTS])
-    return F.flatten(F.transform(lines, lambda x: F.transform(F.filter(marks, lambda m: F.regexp(x, m["p"])), lambda m: F.struct(x.alias("line"), m["mark"].alias("mark")))))
+    marks = lambda x: F.array(*[F.when(x.rlike(p), F.struct(x.alias("line"), F.lit(says).alias("mark"))) for p, says in ARTIFACTS])
+    return F.filter(F.flatten(F.transform(code_lines(source), marks)), lambda m: m.isNotNull())
 
 
 def truncated(source: Column) -> Column:
     """The last line that is neither blank nor a // comment does not end a statement."""
-    lines = F.filter(F.transform(F.split(source, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("//"))
-    return (F.size(lines) > 0) & ~F.get(lines, F.size(lines) - 1).rlike(r"(;|\{|\}|\*/)\z")
+    last = F.try_element_at(code_lines(source), F.lit(-1))
+    return F.coalesce(~last.rlike(r"(;|\{|\}|\*/)\z"), F.lit(False))
 
 
 def metadata(source: Column) -> Column:
@@ -69,13 +73,16 @@ def metadata(source: Column) -> Column:
     cut without regard to strings, as parity asks."""
     text = F.regexp_replace(F.regexp_replace(source, r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)", ""), r"//[^\n]*", "")
     pattern = r'(?dm)^\s*#property\s+([A-Za-z_]+)\s+"?([^"\r\n]*)"?'
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda k, v: F.struct(F.lower(k).alias("k"), F.trim(v).alias("v")))
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda k, v: F.struct(F.lower(k).alias("k"), strip_space(v).alias("v")))
     return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda p: p["k"] == e["k"])))
 
 
 def checks_of(src: Column) -> Column:
     """Findings (severity, check, detail) of a file in the order of the checks."""
-    code = strip_code(src)
+    return bind(strip_code(src), lambda code: _checks(src, code))
+
+
+def _checks(src: Column, code: Column) -> Column:
     one = lambda severity, check, detail: F.array(F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), F.lit(detail).alias("detail")))
     none = F.array().cast("array<struct<severity: string, check: string, detail: string>>")
     named = lambda array, severity, check, detail: F.transform(array, lambda x: F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), detail(x).alias("detail")))
@@ -127,5 +134,10 @@ def with_model_check(scores: DataFrame, verdicts: DataFrame) -> DataFrame:
     return scores.join(wrong, ["video_id", "file"], "left").withColumn("confidence", less).drop("cost")
 
 
+def gate(scores: DataFrame, least: float = 0.6) -> DataFrame:
+    """The scores below the least one that passes."""
+    return scores.filter(F.col("confidence") < least)
+
+
 def overall(scores: DataFrame) -> DataFrame:
     return scores.groupBy("video_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))

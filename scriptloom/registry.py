@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions import text as T
@@ -10,6 +10,7 @@ from scriptloom.operators import events as ev
 from scriptloom.operators import extract as ex
 from scriptloom.operators import fidelity as fi
 from scriptloom.operators import verify as ve
+from scriptloom.operators.neighbours import shifted
 from scriptloom.operators.replay import replay, replay_report
 from scriptloom.operators.segment import SegmentConfig, hard_groups, segment
 from scriptloom.operators.transcript import clamp_overlap, normalize
@@ -81,7 +82,24 @@ def gap_sessions(spark, d):
     return hard_groups(lines, SegmentConfig(pause_gap=21600, cues=())).select("ord", "hard_group")
 
 
-@query()
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CUE_SQL = " OR ".join("starts_with(h, '" + c.replace("'", "''") + "')" for c in T.CUES)
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS ord, turn * 10.0::DOUBLE AS s, turn * 10.0::DOUBLE + 9 AS e,
+  trim(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS text FROM conversations),
+l AS (SELECT *, lead(s) OVER w AS n, row_number() OVER w AS k, count(*) OVER (PARTITION BY video_id) AS total FROM t WHERE text <> '' WINDOW w AS (PARTITION BY video_id ORDER BY s, ord)),
+c AS (SELECT video_id, k, total, s, text, CASE WHEN n IS NULL THEN e ELSE greatest(s, least(e, n)) END AS e, CAST((strlen(text) + 3) // 4 AS INTEGER) AS tokens,
+  regexp_matches(regexp_replace(text, '["''’)\] ]+$', ''), '[.!?]$') AS stop, regexp_replace(lower(text), '^["''—(\[ -]+', '') AS h FROM l),
+g AS (SELECT *, coalesce(s - lag(e) OVER (PARTITION BY video_id ORDER BY k) > 1.5, FALSE) OR {CUE_SQL} AS hard, struct_pack(s := s, e := e, text := text, tokens := tokens, stop := stop) AS line FROM c),
+f AS (SELECT video_id, k, total, [line] AS cur, CAST(NULL AS STRUCT(s DOUBLE, e DOUBLE, "text" VARCHAR, tokens INTEGER, stop BOOLEAN)[]) AS done FROM g WHERE k = 1
+  UNION ALL SELECT video_id, k, total, CASE WHEN hard THEN [line] WHEN is_full THEN list_append(cur[cut + 1:], line) ELSE list_append(cur, line) END, CASE WHEN hard THEN cur WHEN is_full THEN cur[:cut] END
+  FROM (SELECT g.video_id, g.k, g.total, g.hard, g.line, f.cur, list_sum(list_transform(f.cur, lambda x: x.tokens)) + g.tokens > 350 OR g.e - f.cur[1].s > 45 AS is_full,
+    coalesce(list_max(list_filter(list_transform(f.cur, lambda x, i: CASE WHEN i > 1 AND x.stop THEN i END), lambda i: i IS NOT NULL)), len(f.cur)) AS cut FROM f JOIN g ON g.video_id = f.video_id AND g.k = f.k + 1)),
+a AS (SELECT video_id, k, done AS c FROM f WHERE done IS NOT NULL UNION ALL SELECT video_id, k + 1, cur FROM f WHERE k = total),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY video_id ORDER BY k) AS INTEGER) AS chunk_no FROM a)
+SELECT video_id, printf('c%04d', chunk_no) AS chunk_id, chunk_no, c[1].s AS start, c[-1].e AS "end", list_aggregate(list_transform(c, lambda x: x.text), 'string_agg', ' ') AS text,
+  CAST(len(c) AS INTEGER) AS n_lines, CAST(list_sum(list_transform(c, lambda x: x.tokens)) AS INTEGER) AS tokens FROM n""")
 def cap_chunks(spark, d):
     return segment(normalize(said(spark, d)))
 
@@ -154,17 +172,28 @@ def replayable(spark, d) -> DataFrame:
     return seeded_events(spark, d).withColumn("seq", F.col("pos") + 1)
 
 
-@query()
-def replay_files(spark, d):
-    return replay(replayable(spark, d)).select("video_id", "file", "content")
+REPLAYED = rf"""WITH RECURSIVE e AS (SELECT video_id, file, op, coalesce(code, '') AS code, coalesce(anchor, '') AS anchor,
+  row_number() OVER (PARTITION BY video_id, file ORDER BY chunk_id, pos + 1, ord) AS k, count(*) OVER (PARTITION BY video_id, file) AS total FROM ({SEEDED})),
+f AS (SELECT DISTINCT video_id, file, 0::BIGINT AS k, total, FALSE AS made, '' AS content, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS status FROM e
+  UNION ALL SELECT video_id, file, k, total, made OR (ok AND op <> 'replace'),
+    CASE WHEN NOT ok THEN content WHEN op = 'create' THEN ended WHEN op = 'append' THEN broken || ended WHEN op = 'replace' THEN replace(content, anchor, code)
+      WHEN contains(content, line || chr(10)) OR (ends_with(content, line) AND NOT contains(line, chr(10))) THEN content
+      ELSE head || CASE WHEN head = '' OR ends_with(head, chr(10)) THEN '' ELSE chr(10) END || line || chr(10) || substr(content, length(head) + 1) END,
+    op, CASE WHEN ok THEN 'applied' ELSE 'skipped' END
+  FROM (SELECT e.*, f.made, f.content, trim(e.code, chr(10)) || chr(10) AS ended, rtrim(e.code, chr(10)) AS line,
+      CASE WHEN f.content = '' OR ends_with(f.content, chr(10)) THEN f.content ELSE f.content || chr(10) END AS broken,
+      regexp_extract(f.content, '^(?:[ \t\r]*(?:(?://|/\*|#property|#include|#pragma)[^\n]*)?(?:\n|\z))*') AS head,
+      CASE WHEN e.op = 'create' THEN NOT f.made WHEN e.op = 'replace' THEN f.made AND e.anchor <> '' AND length(f.content) - length(replace(f.content, e.anchor, '')) = length(e.anchor) ELSE e.op IN ('append', 'property', 'include') END AS ok
+    FROM f JOIN e ON e.video_id = f.video_id AND e.file = f.file AND e.k = f.k + 1))
+"""
 
 
-@query(f"""SELECT op, count(*) AS n FROM ({SEEDED}) GROUP BY op""")
-def replay_ops(spark, d):
-    return replay_report(replay(replayable(spark, d))).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+@query(REPLAYED + "SELECT video_id, file, content FROM f WHERE k = total")
+def replay_files(spark, d):
+    return replay(replayable(spark, d)).select("video_id", "file", "content")
 
 
-@query()
+@query(REPLAYED + "SELECT op, status, count(*) AS n FROM f WHERE k > 0 GROUP BY op, status")
 def replay_status(spark, d):
     return replay_report(replay(replayable(spark, d))).groupBy("op", "status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -191,7 +220,10 @@ def program_type(spark, d):
     return sources(spark, d).select("file", ve.program_type(src).alias("program_type"), F.size(ve.missing_entry_points(src)).alias("missing"))
 
 
-@query()
+CODE_SQL = r"""regexp_replace({}, '//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|"[^"\\]*(?:\\[\s\S][^"\\]*)*(?:"|\\?\z)|''[^''\\]*(?:\\[\s\S][^''\\]*)*(?:''|\\?\z)', '', 'g')"""
+
+
+@query(f"""SELECT page_id, sha256({CODE_SQL.format("html")}) AS code_sha256 FROM pages""")
 def strip_code(spark, d):
     return read(spark, d, "pages").select("page_id", F.sha2(ve.strip_code(F.col("html")), 256).alias("code_sha256"))
 
@@ -223,24 +255,49 @@ def metadata(spark, d):
     return read(spark, d, "documents").select("doc_id", F.try_element_at(m, F.lit("author")).alias("author"), F.try_element_at(m, F.lit("version")).alias("version"))
 
 
-@query()
+def unbalanced(marks: str) -> str:
+    """SQL: whether code ``c`` is out of balance in a pair of marks: a prefix closes more than it opens, or the whole does not even out."""
+    a, b = marks
+    depth = lambda t: f"length(replace({t}, '{b}', '')) - length(replace({t}, '{a}', ''))"
+    m = rf"regexp_replace(c, '[^\{a}\{b}]', '', 'g')"
+    return f"NOT ({depth(m)} = 0 AND coalesce(list_min(list_transform(range(1, length({m}) + 1), lambda i: {depth(f'left({m}, i)')})), 0) >= 0)"
+
+
+MARKS_SQL = ", ".join(f"CASE WHEN regexp_matches(l, '{p}') THEN struct_pack(severity := 'warning', \"check\" := 'artifacts', detail := '{says}: ' || CASE WHEN length(l) > 80 THEN left(l, 80) || '...' ELSE l END) END" for p, says in zip((r"\bTODO\b", r"\bFIXME\b", r"(?i)\bplaceholder\b", "<[^>]*your[^>]*>", r"\.\.\.\s*$"), (says for _, says in ve.ARTIFACTS), strict=True))
+
+
+def finding_sql(test: str, severity: str, check: str, detail: str) -> str:
+    return f"CASE WHEN {test} THEN [struct_pack(severity := '{severity}', \"check\" := '{check}', detail := '{detail}')] ELSE [] END"
+
+
+FOUND = f"""(SELECT video_id, file, kind, list_concat({finding_sql(unbalanced("{}"), "error", "balance", "unbalanced {}")}, {finding_sql(unbalanced("()"), "error", "balance", "unbalanced ()")},
+  {finding_sql("kind = 'ea' AND NOT contains(content, 'OnInit')", "error", "entry_points", "missing OnInit")}, {finding_sql("kind = 'ea' AND NOT contains(content, 'OnTick')", "error", "entry_points", "missing OnTick")},
+  {finding_sql("NOT contains(content, '#property strict')", "warning", "property_strict", "missing #property strict")},
+  list_filter(flatten(list_transform(lines, lambda l: [{MARKS_SQL}])), lambda x: x IS NOT NULL),
+  {finding_sql("len(lines) > 0 AND NOT regexp_matches(lines[-1], '(;|[{]|[}]|[*]/)$')", "warning", "truncation", "last line ends no statement")}) AS found
+FROM (SELECT *, {CODE_SQL.format("content")} AS c, list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '//')) AS lines,
+  CASE WHEN contains(content, 'OnCalculate') THEN 'indicator' WHEN contains(content, 'OnStart') THEN 'script' WHEN contains(content, 'OnInit') OR contains(content, 'OnTick') THEN 'ea' ELSE 'unknown' END AS kind FROM ({SOURCES})))"""
+SCORED = f"""(SELECT video_id, file, kind AS program_type, greatest(0.0::DOUBLE, list_reduce(list_prepend(1.0::DOUBLE, list_transform(found, lambda f: CASE WHEN f.severity = 'error' THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END)), lambda a, b: a - b)) AS confidence FROM {FOUND})"""
+
+
+@query(f"""SELECT video_id, file, CAST(k - 1 AS INTEGER) AS pos, found[k].severity AS severity, found[k]."check" AS "check", found[k].detail AS detail FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM {FOUND})""")
 def finding_rows(spark, d):
     return ve.findings(sources(spark, d))
 
 
-@query()
+@query(f"SELECT * FROM {SCORED}")
 def confidence(spark, d):
     return ve.confidence(sources(spark, d))
 
 
-@query()
+@query(f"SELECT video_id, round(avg(confidence), 9) AS confidence FROM {SCORED} GROUP BY video_id")
 def overall(spark, d):
     return ve.overall(ve.confidence(sources(spark, d))).select("video_id", F.round("confidence", 9).alias("confidence"))
 
 
-@query()
+@query(f"SELECT * FROM {SCORED} WHERE confidence < 0.9")
 def gate(spark, d):
-    return ve.confidence(sources(spark, d)).filter(F.col("confidence") < 0.6)
+    return ve.gate(ve.confidence(sources(spark, d)), 0.9)
 
 
 @query("""SELECT item_id, tok, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+|[^\\s\\x{85}\\x{a0}]')) AS tok FROM benchmark) GROUP BY ALL""")
@@ -250,8 +307,9 @@ def tokens(spark, d):
 
 def neighbours(spark, d) -> DataFrame:
     """Each document with the next one of its source."""
-    after = F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, d, "documents").select("doc_id", "source", "text", after.alias("next")).filter("next is not null").select(F.col("doc_id").alias("pair_id"), "source", F.col("text").alias("golden"), F.col("next").alias("output"))
+    docs = read(spark, d, "documents").select("doc_id", "source", "text")
+    after = shifted(docs, "source", "doc_id", F.col("text"), "next", ahead=True).filter("next is not null")
+    return after.select(F.col("doc_id").alias("pair_id"), "source", F.col("text").alias("golden"), F.col("next").alias("output"))
 
 
 F1 = """WITH p AS (SELECT doc_id AS pair_id, source, text AS golden, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS output FROM documents),
@@ -271,8 +329,7 @@ def multiset_f1(spark, d):
 
 @query(F1 + "SELECT source, min(CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 9) ELSE 0.0 END) AS f1 FROM s GROUP BY source")
 def worst_f1(spark, d):
-    pairs = neighbours(spark, d)
-    scored = fi.compare(pairs).join(pairs.select("pair_id", "source"), "pair_id")
+    scored = fi.compare(neighbours(spark, d), carry=("source",))
     worst = scored.groupBy("source").agg(F.min_by(F.struct("f1", "pair_id"), F.struct("f1", "pair_id")).alias("w"))
     return worst.select("source", F.round("w.f1", 9).alias("f1"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptloom.functions.text import strip_space
 from scriptloom.operators.events import first_error
 
 JSON3 = "struct<events: array<struct<tStartMs: double, dDurationMs: double, segs: array<struct<utf8: string>>>>>"
@@ -42,7 +43,7 @@ def best_captions(manual: DataFrame, auto: DataFrame, asr: DataFrame, mode: str
 def route_jsonl(lines: DataFrame, value: str = "value") -> DataFrame:
     """(kind, event fields, error) of log lines; blank and # lines are skipped. The key "error", even null, makes a
     failure marker; lines that are not JSON objects have kind "invalid"."""
-    v = F.trim(F.col(value))
+    v = strip_space(F.col(value))
     rows = lines.filter((v != "") & ~v.startswith("#"))
     keys = F.json_object_keys(v)
     kind = F.when(keys.isNull(), "invalid").when(F.array_contains(keys, "error"), "failed").otherwise("event")
@@ -57,15 +58,14 @@ def log_reject(kind: Column, value: Column, record: Column) -> Column:
     other = {name: found.isNotNull() & ~found.isin("VOID", "BIGINT" if name == "seq" else "STRING") for name, found in kinds.items()}
     wrong = lambda *names: F.coalesce(*(F.when(other[n], f"type of {n}") for n in names))
     rule = first_error(*(record[n] for n in ("chunk_id", "seq", "op", "file", "anchor", "code")))
-    blank = F.when((record["op"] == "replace") & ~record["anchor"].rlike(r"(?U)\S"), "anchor")  # white space of any kind
-    return F.when(kind == "invalid", "not a JSON object").when(kind == "failed", wrong("chunk_id", "error")).otherwise(F.coalesce(wrong("chunk_id", "seq", "op", "file", "anchor", "code"), rule, blank))
+    return F.when(kind == "invalid", "not a JSON object").when(kind == "failed", wrong("chunk_id", "error")).otherwise(F.coalesce(wrong("chunk_id", "seq", "op", "file", "anchor", "code"), rule))
 
 
 def read_event_log(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
     """Events and failure markers of a log; a line with a ``log_reject`` fails the query unless ``quarantine`` keeps it
     aside as kind "invalid"."""
     routed = route_jsonl(spark.read.text(path))
-    reject = log_reject(F.col("kind"), F.trim("value"), F.col("record"))
+    reject = log_reject(F.col("kind"), strip_space(F.col("value")), F.col("record"))
     bad = F.lit("invalid") if quarantine else F.raise_error(F.concat(F.lit("bad log line ("), reject, F.lit("): "), F.col("value")))
     return routed.withColumn("kind", F.when(reject.isNotNull(), bad).otherwise(F.col("kind"))).select("kind", "record.*")
 

@@ -11,6 +11,7 @@ from scriptloom.functions import text as T
 from scriptloom.operators.events import first_error, reanchor, violation
 from scriptloom.operators.extract import ExtractConfig, all_failed, deep_extract, replay_client
 from scriptloom.operators.fidelity import compare, strip_comments, tokens
+from scriptloom.operators.neighbours import shifted
 from scriptloom.operators.replay import replay, replay_report
 from scriptloom.operators.segment import SegmentConfig, segment
 from scriptloom.operators.transcript import normalize
@@ -106,6 +107,36 @@ def test_verify(spark):
     assert spark.range(1).select(metadata(F.lit('#property strict\n#property version "1.0"\n')).alias("m")).first()["m"] == {"strict": "#property version"}
 
 
+def test_white_space_of_any_kind(spark):
+    """Tabs, carriage returns and spaces beyond ASCII at the ends of lines, anchors and cues are white space too."""
+    sources = {"\t// TODO later\nint x;\r": [], "\xa0// FIXME\nint x;\t": [], "\u3000int x; // TODO\r\n}": ["TODO marker left in code: int x; // TODO"], "int x = 1\t": ["last line ends no statement"], "a ...\t\nint y;": ["ellipsis at end of line (possible truncation): a ..."]}
+    df = spark.createDataFrame([("v", str(k), "#property strict\n" + s) for k, s in enumerate(sources)], "video_id string, file string, content string")
+    got = {}
+    for r in findings(df).filter("check in ('artifacts', 'truncation')").orderBy("file", "pos").collect():
+        got.setdefault(int(r["file"]), []).append(r["detail"])
+    assert [got.get(k, []) for k in range(len(sources))] == list(sources.values())
+    blank = spark.createDataFrame([(a,) for a in (" ", "\t\n", "\xa0", "\u2003\r", "k", " k ")], "a string")
+    rule = first_error(F.lit("c"), F.lit(1), F.lit("replace"), F.lit("f.mq5"), F.col("a"), F.lit(""))
+    assert [r["r"] for r in blank.select(rule.alias("r")).collect()] == ["anchor"] * 4 + [None] * 2
+    assert [violation("c", {"op": "replace", "file": "f.mq5", "anchor": a}) for a in ("\xa0", "\u2003\r", "k")] == ["anchor", "anchor", None]
+    cue = spark.createDataFrame([("\t\xa0'Next line is",), ("the next line",)], "t string")
+    assert [r["c"] for r in cue.select(T.starts_with_cue(F.col("t"), T.CUES).alias("c")).collect()] == [True, False]
+
+
+def test_neighbours_across_blocks(spark):
+    rng = random.Random(5)
+    rows = [(key, order, f"{key}{order}") for key in ("a", "b", None) for order in rng.sample(range(-30, 200), 60)]
+    df = spark.createDataFrame(rows, "k string, n long, t string")
+    for ahead in (False, True):
+        want = {}
+        for key in ("a", "b", None):
+            own = sorted((n for k, n, _ in rows if k == key), reverse=ahead)
+            want |= {(key, n): None if before is None else f"{key}{before}" for before, n in zip([None, *own], own)}
+        for block in (1, 7, 4096):
+            got = shifted(df, "k", "n", F.col("t"), "x", ahead=ahead, block=block).collect()
+            assert {(r["k"], r["n"]): r["x"] for r in got} == want and len(got) == len(rows)
+
+
 def test_fidelity(spark):
     df = spark.createDataFrame([(1, "a b\nc", "a b\nc"), (2, "a b c d", "a b"), (3, "a", "A"), (4, "", "")], "pair_id long, golden string, output string")
     got = {r["pair_id"]: (r["precision"], r["recall"]) for r in compare(df).collect()}
