@@ -27,6 +27,9 @@ def pending(inputs: DataFrame, manifest: DataFrame, force: bool = False) -> Data
 
 
 def record(outcomes: DataFrame) -> DataFrame:
-    """Records of outcomes (video_id, stage, input_hash, failed); a failed stage is not skipped later."""
+    """Records of outcomes (video_id, stage, input_hash, failed); a failed stage is not skipped later. An empty hash
+    fails the query."""
     status = F.when(F.col("failed"), "failed").otherwise("done")
-    return outcomes.filter("input_hash <> ''").select("video_id", "stage", "input_hash", status.alias("status"), F.current_timestamp().alias("finished"))
+    empty = F.raise_error(F.concat(F.lit("no input hash for stage "), F.col("stage"))).cast("string")
+    known = F.when(F.coalesce("input_hash", F.lit("")) != "", F.col("input_hash")).otherwise(empty)
+    return outcomes.select("video_id", "stage", known.alias("input_hash"), status.alias("status"), F.current_timestamp().alias("finished"))

@@ -76,7 +76,7 @@ def export_union(events: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def write_log(events: DataFrame, failed: DataFrame, path: str) -> None:
-    export_union(events, failed).sort("kind", "chunk_id", "seq").drop("kind").write.mode("overwrite").json(path)
+    export_union(events, failed).sort("kind", *(["video_id"] if "video_id" in events.columns else []), "chunk_id", "seq").drop("kind").write.mode("overwrite").json(path)
 
 
 def read_outputs(spark: SparkSession, path: str, pattern: str = "*.mq5", cap: int = 16 << 20) -> DataFrame:
@@ -86,6 +86,25 @@ def read_outputs(spark: SparkSession, path: str, pattern: str = "*.mq5", cap: in
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), small.cast("string").alias("content"))
 
 
+LINES = "start double, end double, text string"
+CHUNKS = "id string, start double, end double, text string"
+
+
+def read_array(spark: SparkSession, path: str, schema: str, cap: int = 64 << 20) -> DataFrame:
+    """(video_id, ord and the fields of ``schema``) of JSON files with one array each, the id being the file's name up to
+    its first full stop; null is an empty array. A file beyond ``cap`` bytes or of another shape fails the query."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.when(F.col("length") > cap, F.raise_error(F.concat(F.lit("too large: "), F.col("path"))).cast("string")).otherwise(F.col("content").cast("string"))
+    rows = F.from_json(F.nullif(strip_space(text), F.lit("null")), f"array<struct<{', '.join(': '.join(f.split()) for f in schema.split(', '))}>>", {"mode": "FAILFAST"})
+    name = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), 1)
+    return files.select(name.alias("video_id"), F.posexplode(rows).alias("ord", "r")).select("video_id", "ord", "r.*")
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Reports as ``write.json`` has put them; a line of another shape fails the query."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def write_files(files: DataFrame, path: str) -> None:
     """One text table per (video_id, file), committed atomically; only the partitions written are replaced."""
     files.select("video_id", "file", F.col("content").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id", "file").option("lineSep", "\0").text(path)
