@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,5 +66,66 @@ def replay(events: DataFrame) -> DataFrame:
     return per_file.select("video_id", "file", F.aggregate("events", empty, _step).alias("s")).select("video_id", "file", "s.*")
 
 
+def _head_of(content: str) -> int:
+    """Where the leading run of header and blank lines ends."""
+    at = 0
+    for line in re.findall(r"[^\n]*\n|[^\n]+", content):
+        if re.sub(r"[ \t\n\x0b\f\r]", "", line) and not re.match(HEADER, line):
+            break
+        at += len(line)
+    return at
+
+
+def fold_file(events: list[dict]) -> tuple[bool, str, list[tuple]]:
+    """(exists, content, records) of one file's ordered events; a step costs the length of the file, whatever its history."""
+    exists, content, records = False, "", []
+    for e in events:
+        op, file, code, anchor = e["op"], e["file"], e["code"] or "", e["anchor"] or ""
+        broken = content + "\n" if content and not content.endswith("\n") else content
+        n, error = content.count(anchor) if anchor else 0, ""
+        shown = anchor if len(anchor) <= 64 else f"{anchor[:64]}..."
+        if op == "create" and exists:
+            error = f"create: {file} already exists"
+        elif op == "create":
+            content = code.strip("\n") + "\n"
+        elif op == "append":
+            content = broken + code.strip("\n") + "\n"
+        elif op == "replace" and not exists:
+            error = f"replace: {file} does not exist"
+        elif op == "replace" and n != 1:
+            error = f'replace: anchor not found in {file}: "{shown}"' if not n else f'replace: anchor occurs {n} times in {file}: "{shown}"'
+        elif op == "replace":
+            content = content.replace(anchor, code)
+        elif op in ("property", "include"):
+            line = code.rstrip("\n")
+            if f"{line}\n" not in content and not ("\n" not in line and content.endswith(line)):
+                at = _head_of(content)
+                head = content[:at]
+                content = (head + "\n" if head and not head.endswith("\n") else head) + line + "\n" + content[at:]
+        else:
+            error = f'unknown op "{op}"'
+        exists = exists or (not error and op != "replace")
+        records.append((e["chunk_id"], int(e["seq"]), op, "skipped" if error else "applied", error))
+    return exists, content, records
+
+
+def replay_long(events: DataFrame) -> DataFrame:
+    """As ``replay``, for files with long histories: the fold over expressions copies the content and the records at each
+    event, this one runs over a file's events in a Python worker."""
+    kind = "video_id string, file string, exists boolean, content string, records array<struct<chunk_id: string, seq: int, op: string, status: string, detail: string>>"
+
+    def run(frame):
+        import pandas as pd
+
+        ordered = frame.sort_values(["chunk_id", "seq", "ord"], kind="stable")
+        rows = ordered.astype(object).where(ordered.notna(), None).to_dict("records")
+        exists, content, records = fold_file(rows)
+        names = ("chunk_id", "seq", "op", "status", "detail")
+        return pd.DataFrame([(rows[0]["video_id"], rows[0]["file"], exists, content, [dict(zip(names, r, strict=True)) for r in records])], columns=["video_id", "file", "exists", "content", "records"])
+
+    wanted = events.select("video_id", "file", "chunk_id", "seq", "ord", "op", "anchor", "code")
+    return wanted.groupBy("video_id", "file").applyInPandas(run, kind)
+
+
 def replay_report(replayed: DataFrame) -> DataFrame:
     return replayed.select("video_id", "file", F.explode("records").alias("r")).select("video_id", "file", "r.*")

@@ -12,12 +12,13 @@ from scriptloom.operators.events import first_error, reanchor, violation
 from scriptloom.operators.extract import ExtractConfig, all_failed, deep_extract, replay_client
 from scriptloom.operators.fidelity import compare, strip_comments, tokens
 from scriptloom.operators.neighbours import shifted
-from scriptloom.operators.replay import replay, replay_report
+from scriptloom.operators.replay import replay, replay_long, replay_report
 from scriptloom.operators.segment import SegmentConfig, segment
 from scriptloom.operators.transcript import normalize
 from scriptloom.operators.verify import balanced, confidence, findings, metadata, strip_code
 from scriptloom.plans.flow import events_of
-from scriptloom.sources.captions import decode_json3
+from scriptloom.streaming.sessions import pause_sessions
+from scriptloom.sources.captions import best_captions, decode_asr, decode_json3, read_outputs
 
 LINE = "video_id string, ord long, start double, end double, text string"
 EVENT = "video_id string, chunk_id string, seq int, ord int, op string, file string, anchor string, code string"
@@ -64,6 +65,36 @@ def test_sentence_backtrack(spark):
     assert [r["chunk_id"] for r in got] == ["c0001", "c0002"]
 
 
+def test_captions_of_every_kind(spark, tmp_path):
+    raw = lambda *rows: spark.createDataFrame(list(rows), "video_id string, raw string")
+    manual, auto, asr = raw(("a", "m")), raw(("a", "x"), ("b", "y")), raw(("a", "p"), ("b", "q"), ("c", "r"))
+    got = lambda mode: {r["video_id"]: (r["raw"], r["source"]) for r in best_captions(manual, auto, asr, mode).collect()}
+    assert got("auto") == {"a": ("m", "captions-manual"), "b": ("y", "captions-auto"), "c": ("r", "whisper")}
+    assert got("captions") == {"a": ("m", "captions-manual")} and got("whisper")["a"] == ("p", "whisper")
+    spoken = raw(("v", '[{"start": 1, "end": 2.5, "text": " hi "}, {"end": 3}]'))
+    assert [tuple(r) for r in decode_asr(spoken).collect()] == [("v", 0, 1.0, 2.5, " hi "), ("v", 1, 0.0, 3.0, "")]
+    with pytest.raises(Exception):
+        decode_asr(raw(("v", "[{"))).collect()
+    (tmp_path / "a.mq5").write_text("int x;")
+    (tmp_path / "b.txt").write_text("no")
+    assert [tuple(r) for r in read_outputs(spark, str(tmp_path)).collect()] == [("a.mq5", "int x;")]
+    with pytest.raises(Exception, match="too large"):
+        read_outputs(spark, str(tmp_path), cap=3).collect()
+
+
+def test_stream_of_sessions(spark, tmp_path):
+    """A pause of exactly the gap keeps a session together, a longer one ends it."""
+    rows = [("v", 0.0, 1.0), ("v", 2.5, 1.0), ("v", 5.01, 1.0), ("w", 0.0, 1.0)]
+    lines = spark.createDataFrame(rows, "video_id string, s double, seconds double").select("video_id", F.timestamp_seconds("s").alias("at"), "seconds")
+    want = [("v", 1), ("v", 2), ("w", 1)]
+    assert sorted((r["video_id"], r["n"]) for r in pause_sessions(lines, 1.5).collect()) == want
+    lines.write.parquet(f"{tmp_path}/lines")
+    stream = spark.readStream.schema(lines.schema).parquet(f"{tmp_path}/lines")
+    query = pause_sessions(stream, 1.5).writeStream.outputMode("complete").format("memory").queryName("found").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r["video_id"], r["n"]) for r in spark.table("found").collect()) == want
+
+
 def test_events(spark):
     rows = [("c", 1, "append", "a.mq5", None, "x", None), ("", 1, "append", "a.mq5", None, "x", "chunk_id"), ("c", 0, "append", "a.mq5", None, "x", "seq"), ("c", 1, "delete", "a.mq5", None, "x", "op"), ("c", 1, "append", "../a.mq5", None, "x", "bare name"), ("c", 1, "append", ".mq5", None, "x", "bare name"), ("c", 1, "append", "a.txt", None, "x", "extension"), ("c", 1, "append", "a.mq5\n", None, "x", "extension"), ("c", 1, "replace", "a.mq5", " ", "x", "anchor"), ("c", 1, "replace", "a.mq5", "k", "", None), ("c", 1, "create", "a.mq5", None, "", "code")]
     df = spark.createDataFrame(rows, "chunk_id string, seq int, op string, file string, anchor string, code string, want string")
@@ -92,6 +123,21 @@ def test_replay(spark, rows, content, skipped):
     assert [r["detail"] for r in replay_report(done).filter("status = 'skipped'").collect()] == skipped
 
 
+def test_replay_of_long_histories(spark):
+    """Both folds agree on random events, whatever order these come in."""
+    rng = random.Random(7)
+    code = ["int x;", "#property strict", "#include <A>", "// note\n\n", "\n\nint y;\n", "x", "", "a a", "/* b */", "\r\n"]
+    rows = []
+    for f in range(12):
+        for k in range(rng.randint(1, 25)):
+            op = rng.choice(["create", "append", "append", "replace", "property", "include", "delete"])
+            rows.append(("v", f"c{rng.randint(1, 9)}", k, k, op, f"f{f}.mq5", rng.choice(["x", "int x;", "", None, "zz" * 40]), rng.choice([*code, None])))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, EVENT)
+    want = sorted(map(str, replay(df).collect()))
+    assert want == sorted(map(str, replay_long(df).collect())) and len(want) == 12
+
+
 GOOD = '#property strict\n#property copyright "me"\nint OnInit() { return(0); }\nvoid OnTick() { Print("}"); } \n'
 
 
