@@ -1,19 +1,21 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-Python stages on either side only cut texts into words and put ids back in order; each task numbers its distinct
-words, so nothing is shuffled. In between, Spark folds the merges of each new word: the rank map is a literal, laid
-out as a perfect hash of (left id, right id) in two arrays, so that a look-up costs three array reads.
+Python stages cut texts into words and number them by task; only words that a task has not met leave it. They meet by
+hash, so that each word of the table is folded once, and its ids go back to the tasks that hold it. The rank map of the
+fold is a literal, laid out as a perfect hash of (left id, right id) in two arrays: a look-up costs three array reads.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import itertools
 import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from scriptloom.llm.textnum import PERIOD, POWER, SPACE, blocks, mix
 
 NO_RANK = 1 << 30
 SLOT_BITS, BUCKET_BITS = 18, 16
+#: Bytes of a word that is folded whole, and of the pieces of longer ones: a fold takes n steps of up to n elements.
+LONG, PIECE = 256, 128
 #: White space as Unicode has it; the pattern's \s is written out, as engines differ in it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _EXACT = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
@@ -75,27 +79,31 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(symbols: Column, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Column:
+def rank_map(table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Column:
+    """The literal (shifts, keys, ranks) of ``merge_table``; bound once, however often the fold looks ranks up."""
+    return F.struct(*(literal(x, kind).alias(name) for x, kind, name in zip(table, ("int", "bigint", "int"), ("shifts", "keys", "ranks"), strict=True)))
+
+
+def fold_merges(symbols: Column, table: Column, slots: int) -> Column:
     """The ids of a word from the ids of its bytes: the leftmost pair of least rank is merged until none has a rank.
 
     The state has the ids and the rank of each neighbouring pair; a merge looks up the two new pairs only."""
-    shift, keys, values = table
-    slots = len(keys)
-    shifts, own, ranked = literal(shift, "int"), literal(keys, "bigint"), literal(values, "int")
+    shifts, own, ranked = table["shifts"], table["keys"], table["ranks"]
+    none, unranked = F.array().cast("array<int>"), F.lit(NO_RANK)
 
     def rank(left: Column, right: Column) -> Column:
         key = left.cast("long") * 65_536 + right
         slot = lambda h: (F.shiftrightunsigned(h, 20).bitwiseAND(slots - 1) + F.get(shifts, h.bitwiseAND((1 << BUCKET_BITS) - 1).cast("int"))).bitwiseAND(slots - 1).cast("int")
         at = bind(F.xxhash64(key), slot)
-        return bind(at, lambda k: F.when(F.get(own, k) == key, F.get(ranked, k)).otherwise(F.lit(NO_RANK)))
+        return bind(at, lambda k: F.when(F.get(own, k) == key, F.get(ranked, k)).otherwise(unranked))
 
     def merge(state: Column, _: Column) -> Column:
         def at(least: Column) -> Column:
             ids, ranks = state["ids"], state["ranks"]
 
             def put(p: Column) -> Column:
-                left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), least))).otherwise(F.array().cast("array<int>"))
-                right = F.when(p < F.size(ranks), F.array(rank(least, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
+                left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), least))).otherwise(none)
+                right = F.when(p < F.size(ranks), F.array(rank(least, F.get(ids, p + 1)))).otherwise(none)
                 return F.struct(
                     F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
                     F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, F.size(ids))).alias("ranks"),
@@ -110,6 +118,55 @@ def fold_merges(symbols: Column, table: tuple[np.ndarray, np.ndarray, np.ndarray
     return F.when(F.size(symbols) < 2, symbols).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(symbols)), start, merge)["ids"])
 
 
+class Stitcher:
+    """Puts together the ids of a long word's pieces. A run of tokens is the encoding of its bytes if each two neighbours
+    are the encoding of theirs (merges go by rank, and the first to cross an edge would cross it between the two alone),
+    so tokens are made anew around an edge only, as far as they do not fit their neighbours."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.pieces, self.fitting = ranks, {r: t for t, r in ranks.items()}, {}
+
+    def encode(self, data: bytes) -> list[int]:
+        """Merges from a heap, for the few bytes about an edge."""
+        n, get = len(data), self.ranks.get
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, to = heapq.heappop(heap)
+            j = after[i] if end[i] else n
+            if not end[i] or j >= n or end[j] != to:  # one of the two has been merged since
+                continue
+            end[i], end[j], after[i] = to, 0, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (r := get(data[i : end[after[j]]])) is not None:
+                    heapq.heappush(heap, (r, i, end[after[j]]))
+            if (k := before[i]) >= 0 and (r := get(data[k:to])) is not None:
+                heapq.heappush(heap, (r, k, to))
+        return [self.ranks[data[i : end[i]]] for i in range(n) if end[i]]
+
+    def fit(self, left: int, right: int) -> bool:
+        key = (left, right)
+        if key not in self.fitting:
+            self.fitting[key] = self.encode(self.pieces[left] + self.pieces[right]) == [left, right]
+        return self.fitting[key]
+
+    def stitched(self, parts: list[list[int]]) -> list[int]:
+        out: list[int] = []
+        for part in parts:
+            width = 4
+            while out and part and not self.fit(out[-1], part[0]):
+                a, b = max(0, len(out) - width), min(len(part), width)
+                middle = self.encode(b"".join([self.pieces[i] for i in out[a:] + part[:b]]))
+                if (a == 0 or self.fit(out[a - 1], middle[0])) and (b == len(part) or self.fit(middle[-1], part[b])):
+                    out[a:], part = middle, part[b:]
+                    break
+                width *= 2
+            out += part
+        return out
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first byte of each unit, text of each unit). Units cut the bytes where the pattern always does: a word takes
     one space before it; of other white space before a word the last character stands alone; the end's is whole."""
@@ -131,7 +188,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Splitter:
-    """Numbers the words of a task's texts; knows units by a 64-bit hash."""
+    """Numbers the words of a task's texts; knows units by a 64-bit hash. Of a word of more than LONG bytes the pieces get
+    numbers too, and ``long`` has them by the word's."""
 
     def __init__(self, ranks_path: str, pattern: str, most: int):
         import regex
@@ -139,12 +197,12 @@ class Splitter:
         self.ranks = read_ranks(ranks_path)
         self.pattern = regex.compile(pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"(?!\S)", rf"(?![^{WHITE}])").replace(r"\s+", rf"[{WHITE}]+"))
         self.odd = regex.compile(f"[{WHITE[5:]}]")
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.most = most
         self.forget()
 
     def forget(self) -> None:
         self.words: dict[bytes, int] = {}
+        self.long: dict[int, list[int]] = {}
         self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -154,11 +212,18 @@ class Splitter:
             word = piece.encode()
             k = self.words.get(word)
             if k is None:
-                k = self.words[word] = len(self.words)
-                new.append(word)
+                k = self._new(word, new)
             out.append(k)
         return out
 
+    def _new(self, word: bytes, new: list[bytes]) -> int:
+        k = self.words[word] = len(self.words)
+        new.append(word if len(word) <= LONG else word[:1])  # what stands for a long word is folded for nothing
+        if len(word) > LONG:
+            pieces = [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
+            self.long[k] = [self.words[p] if p in self.words else self._new(p, new) for p in pieces]
+        return k
+
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[bool, list[bytes], np.ndarray, np.ndarray]:
         """(whether numbers begin anew, new words, word numbers of all texts, words of each text)."""
         texts, anew = len(offsets) - 1, len(self.words) > self.most
@@ -195,58 +260,191 @@ class Splitter:
         numbers = self.flat[np.repeat(self.first[slot] - (ends - lengths), lengths) + np.arange(ends[-1])]
         return anew, new, numbers, np.bincount(owner, lengths, texts).astype(np.int64)
 
-    def symbols(self, word: bytes) -> np.ndarray:
-        """The ids of the word's bytes, or the word's own id."""
-        rank = self.ranks.get(word)
-        return self.byte[np.frombuffer(word, np.uint8)] if rank is None else np.array([rank], np.int32)
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte, as zstd."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
-def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 400_000) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256.
 
-    Null or empty text: no token. Special tokens are ordinary text. Rows are independent, so repeated rows give equal
-    rows; a null id stays null; an empty table gives no rows; other columns are ignored. A task knows at most about
-    ``most_words`` words and then begins anew. A word of n bytes takes n steps of up to n array elements.
-    """
-    ready_python(df.sparkSession)
-    table = merge_table(read_ranks(ranks_path))
+def widened(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def copied(pool: np.ndarray, place: np.ndarray, spans: np.ndarray, some: int = 1 << 15) -> np.ndarray:
+    """The parts of ``pool`` that begin at ``place``, one after the other."""
+    out = [np.zeros(0, np.uint8)]
+    for i in range(0, len(place), some):
+        n = spans[i : i + some]
+        ends = np.cumsum(n)
+        out.append(pool[np.repeat(place[i : i + some] - (ends - n), n) + np.arange(ends[-1])])
+    return np.concatenate(out)
+
 
-    def cut(batches):
-        splitter = Splitter(ranks_path, pattern, most_words)
+def _table(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(types), types, strict=True)], names=names)
+
+
+def numbered_texts(texts: DataFrame, ranks_path: str, pattern: str, buckets: int, most: int) -> DataFrame:
+    """Rows (key, block, names, numbers, counts, long, words, lengths). A block is what a task numbers together. One kind, its
+    key the block's, has texts: their names, the numbers of their words, the words of each, the pieces of new long words. The other, its key a bucket
+    of words, has words that the block has not held before, with their numbers. A task that runs again over the same
+    rows names its blocks the same way."""
+    names = ["key", "block", "names", "numbers", "counts", "long", "words", "lengths"]
+    types = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+
+    def run(batches):
+        splitter = Splitter(ranks_path, pattern, most)
+        block, told, begun = 0, 0, 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for row, data, offsets in blocks(batch.column(1)):
                 anew, new, numbers, counts = splitter.split(data, offsets)
-                symbols = [splitter.symbols(w) for w in new]
-                edges = np.concatenate([[0], np.cumsum([len(s) for s in symbols], dtype=np.int64)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.int32), *symbols])
-                words = pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays([pa.array([anew]), pa.array([pickle.dumps(ids[row : row + len(counts)])], pa.binary()), pa.array([numbers.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), words], names=["anew", "ids", "numbers", "counts", "words"])
-
-    def join(batches):
-        pieces = {r: t for t, r in read_ranks(ranks_path).items()}
-        written, decoded, lengths = [], [], []
+                if anew or not begun:
+                    begun, told = begun + 1, 0
+                    named = f"{TaskContext.get().partitionId()} {begun} {ids[row : row + len(counts)]}".encode()
+                    block = int.from_bytes(hashlib.blake2b(data.tobytes(), digest_size=7, key=hashlib.sha256(named).digest()).digest(), "little")
+                rows = [(block + buckets, block, pickle.dumps(ids[row : row + len(counts)]), squeezed(numbers), squeezed(counts), pickle.dumps(splitter.long), None, None)]
+                splitter.long = {}
+                lengths = np.array([len(w) for w in new], np.int64)
+                flat = np.frombuffer(b"".join(new), np.uint8)
+                first = np.cumsum(lengths) - lengths
+                place = (np.arange(len(flat)) - np.repeat(first, lengths)) & (PERIOD - 1)
+                hashes = mix(np.add.reduceat(_EXACT[flat] * POWER[place], first) + lengths.astype(np.uint64)) if new else np.zeros(0, np.uint64)
+                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = order[cuts[b] : cuts[b + 1]]
+                    rows.append((b, block, None, squeezed(told + own), None, None, pa.compress(b"".join([new[k] for k in own.tolist()]), codec="zstd", asbytes=True), squeezed(lengths[own])))
+                told += len(new)
+                yield _table(rows, types, names)
+
+    return texts.mapInArrow(run, ", ".join(f"{c} long" if k < 2 else f"{c} binary" for k, c in enumerate(names)))
+
+
+def gathered_words(packs: DataFrame, ranks_path: str, most: int) -> DataFrame:
+    """(anew, block, numbers, places, words) of the word rows: the ids of the bytes of words that the task has not met
+    before, and where in all of its words each of the block's stands."""
+
+    def run(batches):
+        ranks = read_ranks(ranks_path)
+        byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for block, numbers, words, lengths in zip(*(batch.column(k).to_pylist() for k in (1, 3, 6, 7)), strict=True):
+                if words is None:
+                    continue
+                anew = len(known) > most
+                if anew:
+                    known = {}
+                ends = np.cumsum(widened(lengths))
+                data = pa.decompress(words, int(ends[-1]), codec="zstd", asbytes=True)
+                own = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                at = len(known)
+                places = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int64, len(own))
+                new = list(itertools.islice(known, at, None))
+                sizes = np.fromiter(map(len, new), np.int64, len(new))
+                symbols = byte[np.frombuffer(b"".join(new), np.uint8)]
+                first, kept = np.cumsum(sizes) - sizes, np.ones(len(symbols), bool)
+                for k in [k for k, w in enumerate(new) if w in ranks]:  # a word that is a token needs no merge
+                    symbols[first[k]] = ranks[new[k]]
+                    kept[first[k] + 1 : first[k] + sizes[k]] = False
+                    sizes[k] = 1
+                symbols = symbols[kept]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(symbols))
+                nested = pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), lists)
+                yield pa.RecordBatch.from_arrays([pa.array([anew]), pa.array([block]), pa.array([numbers], pa.binary()), pa.array([squeezed(places)], pa.binary()), nested], names=["anew", "block", "numbers", "places", "words"])
+
+    return packs.mapInArrow(run, "anew boolean, block long, numbers binary, places binary, words array<array<int>>")
+
+
+def dealt_ids(folded: DataFrame) -> DataFrame:
+    """(block, numbers, lengths, ids): the folded ids of a block's words."""
+
+    def run(batches):
+        first, length, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
+            rows = []
             for k in range(batch.num_rows):
+                words = batch.column(4).slice(k, 1).flatten()  # one list of ids per word
                 if batch.column(0)[k].as_py():
-                    written, decoded, lengths = [], [], []
-                for ids in batch.column(4)[k].as_py():
-                    written.append(" ".join(map(str, ids)).encode())
-                    decoded.append(b"".join([pieces[i] for i in ids]))
-                    lengths.append(len(ids))
-                names = pickle.loads(batch.column(1)[k].as_py())
-                numbers = np.frombuffer(batch.column(2)[k].as_py(), np.int32)
-                counts = np.frombuffer(batch.column(3)[k].as_py(), np.int64)
-                tokens = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64)[numbers])]) if len(numbers) else np.zeros(1, np.int64)
-                order, at, rows = numbers.tolist(), 0, []
-                for name, count in zip(names, counts.tolist(), strict=True):
-                    own = order[at : at + count]
-                    text, data = b" ".join([written[w] for w in own]), b"".join([decoded[w] for w in own])
-                    rows.append((name, int(tokens[at + count] - tokens[at]), hashlib.sha256(text).hexdigest(), hashlib.sha256(data).hexdigest()))
-                    at += count
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    first, length, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                sizes = np.diff(words.offsets.to_numpy()) if len(words) else np.zeros(0, np.int64)
+                first = np.concatenate([first, len(flat) + np.cumsum(sizes) - sizes])
+                length = np.concatenate([length, sizes])
+                flat = np.concatenate([flat, words.flatten().to_numpy().astype(np.int64)])
+                places = widened(batch.column(3)[k].as_py())
+                lengths = length[places]
+                ends = np.cumsum(lengths)
+                ids = flat[np.repeat(first[places] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+                rows.append((batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), squeezed(lengths), squeezed(ids)))
+            yield _table(rows, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), ["block", "numbers", "lengths", "ids"])
+
+    return folded.mapInArrow(run, "block long, numbers binary, lengths binary, ids binary")
+
+
+def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 400_000) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256.
+
+    Null or empty text: no token. Special tokens are ordinary text. Rows are independent, so repeated rows give equal
+    rows; a null id stays null; an empty table gives no rows; other columns are ignored. A task knows at most about
+    ``most_words`` words and then begins anew. Words of any length are encoded whole; long ones are folded in pieces.
+    """
+    spark = df.sparkSession
+    ready_python(spark)
+    table = merge_table(read_ranks(ranks_path))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def join(texts: pa.Table, words: pa.Table) -> pa.Table:
+        """Texts of one block and the ids of its words; rows of a bucket of words alone give nothing."""
+        ranks = read_ranks(ranks_path) if len(words) else {}
+        known = [tuple(map(widened, row)) for row in zip(*(words.column(c).to_pylist() for c in ("numbers", "lengths", "ids")), strict=True)]
+        ids = np.concatenate([np.zeros(0, np.int64), *(k[2] for k in known)])
+        of, lengths = (np.concatenate([np.zeros(0, np.int64), *(k[i] for k in known)]) for i in (0, 1))
+        size = int(of.max(initial=-1)) + 1
+        count, first = np.full(size, -1), np.zeros(size, np.int64)
+        count[of], first[of] = lengths, np.cumsum(lengths) - lengths
+        if long := {k: v for own in texts.column("long").to_pylist() if own is not None for k, v in pickle.loads(own).items()}:
+            stitcher, more, at = Stitcher(ranks), [ids], len(ids)
+            for k, parts in long.items():
+                more.append(np.array(stitcher.stitched([ids[first[p] : first[p] + count[p]].tolist() for p in parts]), np.int64))
+                first[k], count[k] = at, len(more[-1])
+                at += len(more[-1])
+            ids = np.concatenate(more)
+        pools = []  # of the words' ids as decimals, a space behind each, and of their bytes
+        tokens = sorted(ranks, key=ranks.get)
+        for pieces in ([b"%d " % ranks[t] for t in tokens], tokens):
+            place, spans = np.zeros(max(ranks.values(), default=0) + 1, np.int64), np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+            own = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            place[[ranks[t] for t in tokens]], spans[[ranks[t] for t in tokens]] = np.cumsum(own) - own, own
+            ends = np.concatenate([[0], np.cumsum(spans[ids])])
+            pools.append((copied(np.frombuffer(b"".join(pieces), np.uint8), place[ids], spans[ids]), ends[first], ends[first + np.maximum(count, 0)] - ends[first]))
+        rows = []
+        for of, numbers, counts in zip(*(texts.column(c).to_pylist() for c in ("names", "numbers", "counts")), strict=True):
+            if of is None:
+                continue
+            numbers, edges = widened(numbers), np.concatenate([[0], np.cumsum(widened(counts))])
+            if len(numbers) and (numbers.max() >= size or count[numbers].min() < 0):
+                raise RuntimeError("a block's words have no ids: its texts were read anew in another order")
+            tokens_to = np.concatenate([[0], np.cumsum(count[numbers])])[edges]
+            digests = []
+            for k, (pool, place, spans) in enumerate(pools):
+                ends = np.concatenate([[0], np.cumsum(spans[numbers])])[edges].tolist()
+                data = memoryview(copied(pool, place[numbers], spans[numbers]))
+                digests.append([hashlib.sha256(data[a : max(a, b - 1) if k == 0 else b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)])
+            rows += zip(pickle.loads(of), np.diff(tokens_to).tolist(), *digests, strict=True)
+        return pa.Table.from_batches([_table(rows, types, names)])
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks_of = texts.mapInArrow(cut, "anew boolean, ids binary, numbers binary, counts binary, words array<array<int>>")
-    folded = blocks_of.withColumn("words", F.transform("words", lambda w: fold_merges(w, table)))
-    return folded.mapInArrow(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # one exchange serves both: it brings words together and puts a block's texts where its ids will come
+    dealt = numbered_texts(texts, ranks_path, pattern, buckets, most_words).repartition(buckets, "key")
+    fold = bind(rank_map(table), lambda t: F.transform("words", lambda w: fold_merges(w, t, len(table[1]))))
+    folded = gathered_words(dealt, ranks_path, most_words).withColumn("words", fold)
+    ids = dealt_ids(folded).withColumn("key", F.col("block") + buckets).repartition(buckets, "key")
+    both = dealt.groupBy("key").cogroup(ids.groupBy("key"))
+    return both.applyInArrow(join, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,9 +8,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from scriptloom.llm import media, packing, quality, repeats, shingles, toxicity
+from scriptloom.llm import exact_dedup as exact
+from scriptloom.llm import media, near_dedup as near, packing, quality, repeats, shingles, toxicity
 from scriptloom.llm.chat import chat_digest, fold_messages, read_turns, render
+from scriptloom.llm.components import components
 from scriptloom.llm.exact_dedup import exact_dedup
 from scriptloom.llm.line_dedup import LineRuns, line_dedup
 from scriptloom.llm.near_dedup import near_dedup, similar_links
@@ -60,6 +63,40 @@ def test_exact(docs):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_colliding_identifiers(docs, monkeypatch):
+    """Many chunk contents share an identifier of three bits: the result stays the same."""
+    want = sorted(map(str, exact_dedup(docs).collect()))
+    monkeypatch.setattr(exact, "identifier", lambda c: F.struct(F.pmod(F.xxhash64(c), F.lit(8)).alias("a"), F.lit(0).alias("b")))
+    assert exact.colliding_identifiers(docs, "text").count() > 0
+    assert sorted(map(str, exact_dedup(docs).collect())) == want
+
+
+def plain_lines(rows, min_chars=20, min_docs=3):
+    """(id, lines, dropped, kept text) by counting each key's documents."""
+    blank = " \t\n\x0b\x0c\r"
+    held = {}
+    for i, t in set(rows):
+        for line in t.split("\n"):
+            held.setdefault(low(line).strip(blank), set()).add((i, t))
+    top = {k: max((i for i, _ in v if i is not None), default=None) for k, v in held.items() if len(k) >= min_chars and len(v) >= min_docs}
+    out = []
+    for i, t in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if (k := low(x).strip(blank)) not in top or top[k] is None or i == top[k]]
+        out.append(str((i, len(lines), len(lines) - len(kept), "\n".join(kept))))
+    return sorted(out)
+
+
+def test_lines_by_brute_force(spark):
+    rng = random.Random(11)
+    common = [f"Common LINE number {k:04d} of all" for k in range(40)] + ["short", "", "Ünïcode line of twenty x", "x" * 19, "x" * 20]
+    text = lambda: "\n".join(rng.choice(["", "  ", "\t"]) + (low(x) if rng.random() < 0.5 else x) + rng.choice(["", "\r", " "]) for x in rng.choices(common, k=rng.randint(0, 12)))
+    rows = [(k, text()) for k in range(60)] + [(None, common[0]), (5, common[1])]
+    rows.append(rows[7])
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches=3).collect()
+    assert sorted(str((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"])) for r in got) == plain_lines(rows)
+
+
 def test_lines(docs):
     got = {r["doc_id"]: r for r in line_dedup(docs, batches=3).collect()}
     assert (got[0]["n_lines"], got[1]["kept_text"]) == (1, "")
@@ -88,7 +125,38 @@ def shingle_set(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
+def test_components_of_long_chains(spark):
+    order = list(range(300))
+    random.Random(3).shuffle(order)
+    edges = list(zip(order, order[1:])) + [(1000, 1001), (1001, 1002), (2000, 2000)]
+    got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(300), 0) | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
+@pytest.mark.parametrize("sizes", [{"LOOK": 12, "BLOCK": 4, "FOLLOWERS": 2}, {"BROADCAST": 0, "LOOK": 8}])
+def test_near_at_every_size(spark, monkeypatch, sizes):
+    """Groups beyond one look are dealt again, clusters beyond one block into several, ids beyond a broadcast joined."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(near, name, value)
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for c in range(3):
+        base = rng.choices(words, k=rng.choice([12, 40, 120]))
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((len(rows), " ".join(own)))
+    assert_near(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_near(docs):
+    assert_near(docs)
+    assert near_dedup(docs.limit(0)).count() == 0
+
+
+def assert_near(docs):
     sets = rows_of(docs)
     up = list(range(len(sets)))
     find = lambda k: k if up[k] == k else find(up[k])
@@ -100,7 +168,6 @@ def test_near(docs):
         ids = [sets[j][0] for j in range(len(sets)) if find(j) == find(k) and sets[j][0] is not None]
         want.append((str(i), len(shingle_set(t)), min(ids, default=None)))
     assert sorted(map(str, want)) == sorted(str((str(r["doc_id"]), r["n_shingles"], r["component_id"])) for r in near_dedup(docs).collect())
-    assert near_dedup(docs.limit(0)).count() == 0
 
 
 def test_all_links(spark, docs):
@@ -231,10 +298,74 @@ def test_media(docs):
     assert media.clip_rows(media.encode_media(docs)).filter("clip = 0").count() == docs.count()
 
 
+def read_frame(jpeg):
+    """The samples of a lossless frame, bit by bit from its own Huffman table."""
+    at, codes = 2, {}
+    while True:
+        marker, size = jpeg[at + 1], int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        if marker == 0xC4:
+            code, k = 0, at + 21
+            for bits, n in enumerate(jpeg[at + 5 : at + 21], 1):
+                for _ in range(n):
+                    codes[f"{code:0{bits}b}"] = jpeg[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+        at += 2 + size
+        if marker == 0xDA:
+            break
+    bits = "".join(f"{b:08b}" for b in jpeg[at:-2].replace(b"\xff\x00", b"\xff"))
+    out, i = np.zeros((media.SIDE, media.SIDE), int), 0
+    for y in range(media.SIDE):
+        for x in range(media.SIDE):
+            j = i + 1
+            while bits[i:j] not in codes:
+                j += 1
+            s = codes[bits[i:j]]
+            v, i = int(bits[j : j + s] or "0", 2), j + s
+            d = v if not s or v >> (s - 1) else v - (1 << s) + 1
+            out[y, x] = d + (out[y, x - 1] if x else out[y - 1, 0] if y else 128)
+    return out
+
+
+def test_media_frames_by_another_reader():
+    px = np.random.default_rng(1).integers(0, 256, (6, 576), dtype=np.uint8)
+    px[3:] //= 8
+    files = media.read_avi(media.write_avi(media.encode_frames(px)))
+    assert all((read_frame(f).ravel() == p).all() for f, p in zip(files, px, strict=True))
+    # a file whose frames have tables of their own: the categories' codes the other way about are not of one width
+    other = files[0].replace(bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1)), bytes([1] * 9 + [0] * 7) + bytes(range(9)))
+    with pytest.raises(ValueError):
+        media.decode_frames([files[1], other])
+
+
+def test_media_of_an_empty_table(docs):
+    assert media.media_features(docs.limit(0)).count() == media.clip_rows(media.encode_media(docs.limit(0))).count() == 0
+
+
+def test_clips_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        levels = np.repeat(rng.integers(0, 230, rng.integers(1, 8)), rng.integers(1, 30))
+        frames = (levels[:, None] + rng.integers(0, 25, (len(levels), 576))).astype(np.uint8)
+        hist = [np.bincount(f >> 4, minlength=16) for f in frames]
+        d = [np.abs(a - b).sum() / (2 * 576) for a, b in zip(hist, hist[1:])]
+        want = []
+        for k, x in enumerate(d):
+            others = [d[j] for j in range(max(0, k - 12), min(len(d), k + 13)) if j != k]
+            mean = sum(others) / max(len(others), 1)
+            spread = (sum((o - mean) ** 2 for o in others) / max(len(others), 1)) ** 0.5
+            if x >= 0.3 and x > mean + 3 * spread + 1e-9:
+                want.append(k + 1)
+        assert media.cuts(frames).tolist() == want
+        edges = [0, *want, len(frames)]
+        assert media.clips(frames) == [(k, a, b - a, a / media.FPS, b / media.FPS) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+
 def test_chat(spark):
     rows = [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY), (1, 0, None, None), (1, 1, "assistant", "a#b </turn>\n\\"), (1, 1, "assistant", "again"), (None, None, "user", "x")]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in chat_digest(conversation_log(table)).collect()}
+    table = spark.createDataFrame([(*r, "c", 7) for r in rows], "conv_id long, turn long, role string, text string, log string, since long")
+    clashing = conversation_log(table).withColumn("live", F.lit("x")).withColumn("redone", F.lit(3))
+    got = {r["conv_id"]: r for r in chat_digest(clashing).collect()}
     for c, g in ((-7, rows[:2]), (1, rows[2:5]), (None, rows[5:])):
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in g).encode()).hexdigest()
         loss = "".join(t or "" for _, _, r, t in g if r == "assistant")
@@ -259,6 +390,61 @@ def test_bin_completion():
     assert packing.bin_completion(np.zeros(11, int), 10) == []
 
 
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every place for every piece."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= lengths[k]}):
+            i = rooms.index(room)
+            put(k + 1, rooms[:i] + [room - lengths[k]] + rooms[i + 1 :])
+        put(k + 1, [*rooms, capacity - lengths[k]])
+
+    put(0, [])
+    return best
+
+
+def test_search_reaches_the_optimum():
+    rng, better = np.random.default_rng(2), 0
+    for _ in range(150):
+        cap = int(rng.integers(10, 40))
+        lengths = rng.integers(max(1, cap // 6), cap * 7 // 10, int(rng.integers(4, 12)))
+        counts = np.bincount(lengths, minlength=cap + 1)
+        got, first = (sum(t for _, t in plan) for plan in (packing.bin_completion(counts, cap), packing.best_fit_decreasing(counts, cap)))
+        assert got == fewest(lengths.tolist(), cap) <= first
+        better += got < first
+    assert better  # the search, not best fit, found some of these
+
+
+def test_pieces(spark, docs):
+    P = pytest.importorskip("public_tokenizers")
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    word = Tokenizer.from_file(path)
+    word.encode_special_tokens = True
+    want = []
+    for i, t in rows_of(docs):
+        ids = [*word.encode(t, add_special_tokens=False).ids, 0]
+        want += [str((i, k, s, len(own := ids[s : s + 64]), zlib.crc32(np.array(own, "<u4").tobytes()))) for k, s in enumerate(range(0, len(ids), 64))]
+    for share in (1 << 20, 3):
+        got = packing.best_fit_packing(docs, path, capacity=64, share=share).collect()
+        assert sorted(str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])) for r in got) == sorted(want)
+        places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+        for (a, at, n), (b, then, _) in zip(places, [*places[1:], (None, 0, 0)]):
+            assert then == (at + n if a == b else 0) and at + n <= 64
+        assert len({r["sequence_id"] for r in got}) == sum(t for _, t in packing.bin_completion(np.bincount([r["length"] for r in got], minlength=65), 64))
+
+
 def test_tokenizers(spark, docs):
     tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -286,34 +472,54 @@ def test_tokenizers(spark, docs):
     assert packing.best_fit_packing(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
-def test_byte_bpe_cases(docs):
+def bpe_parts():
     tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
-
-    from scriptloom.llm.bpe import byte_bpe, read_ranks
+    from scriptloom.llm.bpe import read_ranks
 
     path = P.path("byte_bpe_50k.tiktoken")
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-    some = docs.filter("text is null or length(text) < 25000")
-    want = [(str(i), len(ids := enc.encode_ordinary(t)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows_of(some)]
-    for most in (400_000, 20):  # the second begins its numbers anew all the time
-        got = byte_bpe(some, path, P.PATTERN, most_words=most).collect()
-        assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
-    assert byte_bpe(some.limit(0), path, P.PATTERN).count() == 0
+    return path, P.PATTERN, lambda pattern: tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-def test_byte_bpe_long_words(spark, docs):
-    tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+def bpe_rows(enc, rows):
+    return sorted((str(i), len(ids := enc.encode_ordinary(t)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
 
-    from scriptloom.llm.bpe import byte_bpe, read_ranks
 
-    path = P.path("byte_bpe_50k.tiktoken")
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+def test_byte_bpe_cases(spark, docs):
+    from scriptloom.llm.bpe import byte_bpe
+
+    path, pattern, encoding = bpe_parts()
     rng = random.Random(6)
-    mixed = spark.createDataFrame([(99, "".join(rng.choice("abcdefghij") for _ in range(8_000)), 1, "a", "b")], DOCS)
-    some = docs.filter("length(text) >= 25000").union(mixed)
-    want = [(i, len(ids := enc.encode_ordinary(t)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows_of(some)]
-    assert len(want) == 2
-    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe(some, path, P.PATTERN).collect()) == sorted(want)
+    longer = [(90 + k, "".join(rng.choice(letters) for _ in range(n)) + " tail", 1, "a", "b") for k, (n, letters) in enumerate([(255, "ab"), (256, "abcdefghij"), (257, "y"), (1000, "eé"), (8_000, "abcdefghij"), (30_000, "etaoin")])]
+    table = docs.union(spark.createDataFrame(longer, DOCS))
+    want = bpe_rows(encoding(pattern), rows_of(table))
+    for most in (400_000, 20):  # the second begins its numbers anew all the time
+        got = byte_bpe(table, path, pattern, most_words=most).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
+    assert byte_bpe(table.limit(0), path, pattern).count() == 0
+
+
+def test_byte_bpe_of_100_000_bytes(spark):
+    from scriptloom.llm.bpe import byte_bpe
+
+    path, pattern, encoding = bpe_parts()
+    rng = random.Random(7)
+    rows = [(1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))), (2, "y" * 100_000)]
+    got = byte_bpe(spark.createDataFrame(rows, "doc_id long, text string"), path, pattern).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == bpe_rows(encoding(pattern), rows)
+
+
+def test_pieces_are_stitched():
+    from scriptloom.llm.bpe import Stitcher, read_ranks
+
+    path, _, encoding = bpe_parts()
+    stitcher, enc, rng = Stitcher(read_ranks(path)), encoding(r"[\s\S]+"), random.Random(8)
+    for k in range(600):
+        letters = ["ab", "y", "etaoin", "abcdefghijklmnopqrstuvwxyz", "-=", "é ßy", "0123456789", "yyyyyx"][k % 8]
+        data = "".join(rng.choice(letters) for _ in range(rng.randint(1, 400))).encode()
+        size = rng.choice([1, 2, 3, 5, 7, 16, 31, 128])
+        parts = [stitcher.encode(data[i : i + size]) for i in range(0, len(data), size)]
+        want = [enc.encode_single_token(t) for t in enc.decode_tokens_bytes(enc._encode_single_piece(data))]
+        assert stitcher.stitched(parts) == want
 
 
 def test_classifiers(spark, docs):
