@@ -89,8 +89,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def packed_anchors(row: np.ndarray, found: tuple[np.ndarray, ...], r1: np.ndarray, r2: np.ndarray) -> pa.RecordBatch:
-    """One row per distinct stretch of a block of texts: how often it stands there, its least and its largest place, and
-    all of them as runs (r1, r2, first place, places) where there are several."""
+    """One row per distinct stretch of a block of texts: how often it stands there, its least place and, where there are
+    several, its largest and all of them as runs (r1, r2, first place, places)."""
     place, before, after, anchor, stretch = found
     one, two = r1[row], r2[row]
     order = np.lexsort((place, two, one, stretch, anchor))
@@ -103,10 +103,14 @@ def packed_anchors(row: np.ndarray, found: tuple[np.ndarray, ...], r1: np.ndarra
     last = np.append(first[1:], len(one)) - 1
     places = np.stack([one[runs], two[runs], place[runs], np.diff(runs, append=len(one))], axis=1).astype("<i8")
     edges = np.searchsorted(runs, np.append(first, len(one)))
-    more = [places[a:b].tobytes() if several else None for a, b, several in zip(edges[:-1].tolist(), edges[1:].tolist(), (last > first).tolist(), strict=True)]
+    as_met = np.argsort(order[first])  # in the order of the texts, in which a file of them is smallest
+    first, last = first[as_met], last[as_met]
+    alone = last == first
+    more = [None if a is None else places[a:b].tobytes() for a, b in zip(*(np.where(alone, None, e[as_met]) for e in (edges[:-1], edges[1:])), strict=True)]
     block = np.full(len(first), r1[row[0]], np.int64)
-    columns = [block, anchor[first], stretch[first], before[first].astype(np.int32), after[first].astype(np.int32), last - first + 1, one[first], two[first], place[first], one[last], two[last], place[last]]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more, pa.binary())], names=ROWS.names)
+    columns = [block, anchor[first], stretch[first], before[first].astype(np.int32), after[first].astype(np.int32), last - first + 1, one[first], two[first], place[first]]
+    largest = [pa.array(x[last], mask=alone) for x in (one, two, place)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), *largest, pa.array(more, pa.binary())], names=ROWS.names)
 
 
 class ROWS:
@@ -268,9 +272,11 @@ FOUND = "r1 long, r2 long, low long, high long, anchor long, stretch long"
 
 
 def stretches_of(rows: DataFrame) -> DataFrame:
-    """One row per stretch of packed anchors, with its least and its largest place."""
-    lo, hi = F.struct("r1", "r2", "place"), F.struct(F.col("last1").alias("r1"), F.col("last2").alias("r2"), F.col("last_place").alias("place"))
+    """One row per stretch of packed anchors, with its least place and, if it has several, its largest."""
+    lo = F.struct("r1", "r2", "place")
+    hi = F.when(F.col("last1").isNull(), lo).otherwise(F.struct(F.col("last1").alias("r1"), F.col("last2").alias("r2"), F.col("last_place").alias("place")))
     stretches = rows.groupBy("anchor", "stretch", "before", "after").agg(F.sum("n").alias("n"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    stretches = stretches.withColumn("hi", F.when(F.col("n") > 1, F.col("hi")))
     return stretches.withColumn("size", (F.col("before") + F.col("after")) * F.when(F.col("n") > 1, 2).otherwise(1))
 
 
