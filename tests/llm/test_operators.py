@@ -170,6 +170,22 @@ def assert_near(docs):
     assert sorted(map(str, want)) == sorted(str((str(r["doc_id"]), r["n_shingles"], r["component_id"])) for r in near_dedup(docs).collect())
 
 
+def test_sketches_of_moved_sets_tell_sets_apart():
+    """Sets that have travelled have lost bits; their sketches are those of the whole ones and rule pairs out."""
+    rng = np.random.default_rng(4)
+    for size in (5, 60, 700):
+        a, b = (np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(2))
+        moved = [near.widened(near.narrow(x)) for x in (a, b)]
+        assert [near.sketch(x) for x in moved] == [near.sketch(a), near.sketch(b)]
+        x, y = near.folded([near.sketch(x) for x in moved])
+        assert np.bitwise_count(x ^ y).sum() > 2 * size // 9
+
+
+def test_sets_too_small_to_link_make_no_groups(spark):
+    small = spark.createDataFrame([(" ".join(f"w{k}x{i}" for i in range(n)),) for k in range(40) for n in (1, 3, 7)], "text string")
+    assert near.shared_signatures(near.packed_signatures(small, 4, 5, 80), 4).count() == 0
+
+
 def test_all_links(spark, docs):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 999)}" for _ in range(200)]
