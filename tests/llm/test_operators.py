@@ -549,3 +549,18 @@ def test_classifiers(spark, docs):
         assert len(held) > 100 and sum(r["predicted"] == want(r["doc_id"]) for r in held) / len(held) > 0.95
     for f in (toxicity.toxicity, quality.quality):
         assert f(docs, labels.limit(0)).count() == docs.count() and f(docs.limit(0), labels).count() == 0
+
+
+def test_anchors_at_one_place_go_no_further(spark):
+    """Only the stretches of anchors at several places are stored."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = text(600)
+    table = spark.createDataFrame([(k, text(900) + (passage if k < 3 else "")) for k in range(12)], "r1 long, text string").withColumn("r2", F.col("r1"))
+    stretches = repeats.stretches_of(repeats.anchor_rows(table, 200)).collect()
+    places = {}
+    for r in stretches:
+        places[r["anchor"]] = places.get(r["anchor"], 0) + r["n"]
+    assert places and min(places.values()) > 1
+    assert {r["lo"]["r1"] for r in stretches} <= {0, 1, 2}
+    assert all(r["kinds"] == sum(x["anchor"] == r["anchor"] for x in stretches) for r in stretches)
