@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import ready_python
-from scriptloom.llm.textnum import PERIOD, POWER, SPACE, blocks, mix
+from scriptloom.llm.textnum import LETTER, PERIOD, POWER, SPACE, blocks, mix
 
 NO_RANK = 1 << 30
 SLOT_BITS, BUCKET_BITS = 18, 16
@@ -28,6 +28,10 @@ SLOT_BITS, BUCKET_BITS = 18, 16
 LONG, PIECE = 256, 128
 #: White space as Unicode has it; the pattern's \s is written out, as engines differ in it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes that continue 0xC3 to a letter: the letters of Latin-1.
+LATIN = np.zeros(256, bool)
+LATIN[0x80:0xC0] = True
+LATIN[[0x97, 0xB7]] = False
 _EXACT = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
 
 
@@ -84,10 +88,22 @@ def rank_map(table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Column:
     return F.struct(*(literal(x, kind).alias(name) for x, kind, name in zip(table, ("int", "bigint", "int"), ("shifts", "keys", "ranks"), strict=True)))
 
 
-def fold_merges(symbols: Column, table: Column, slots: int) -> Column:
+def byte_pairs(ranks: dict[bytes, int]) -> np.ndarray | None:
+    """The rank of each pair of bytes, at left id * 256 + right id; None where the ids of bytes are not the least 256."""
+    if sorted(ranks[bytes([b])] for b in range(256)) != list(range(256)):
+        return None
+    out = np.full(1 << 16, NO_RANK, np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            out[ranks[token[:1]] << 8 | ranks[token[1:]]] = rank
+    return out
+
+
+def fold_merges(symbols: Column, table: Column, slots: int, firsts: Column | None = None) -> Column:
     """The ids of a word from the ids of its bytes: the leftmost pair of least rank is merged until none has a rank.
 
-    The state has the ids and the rank of each neighbouring pair; a merge looks up the two new pairs only."""
+    The state has the ids and the rank of each neighbouring pair; a merge looks up the two new pairs only. With ``firsts``
+    (``byte_pairs``) the pairs of bytes cost one array read each."""
     shifts, own, ranked = table["shifts"], table["keys"], table["ranks"]
     none, unranked = F.array().cast("array<int>"), F.lit(NO_RANK)
 
@@ -113,7 +129,8 @@ def fold_merges(symbols: Column, table: Column, slots: int) -> Column:
 
         return F.when(F.size(state["ranks"]) == 0, state).otherwise(bind(F.array_min(state["ranks"]), at))
 
-    pairs = F.zip_with(F.slice(symbols, F.lit(1), F.size(symbols) - 1), F.slice(symbols, F.lit(2), F.size(symbols) - 1), rank)
+    first = rank if firsts is None else lambda left, right: F.get(firsts, left * 256 + right)
+    pairs = F.zip_with(F.slice(symbols, F.lit(1), F.size(symbols) - 1), F.slice(symbols, F.lit(2), F.size(symbols) - 1), first)
     start = F.struct(symbols.alias("ids"), pairs.alias("ranks"))
     return F.when(F.size(symbols) < 2, symbols).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(symbols)), start, merge)["ids"])
 
@@ -187,6 +204,18 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, owner[first]
 
 
+def plain_units(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each unit has letters of Latin-1 only, but for one space before them."""
+    letter = LETTER[data]
+    pair = (data[:-1] == 0xC3) & LATIN[data[1:]]
+    letter[:-1] |= pair
+    letter[1:] |= pair
+    spaced = data[first] == 32
+    spans = np.diff(first, append=len(data))
+    letter[first[spaced]] = True
+    return np.logical_and.reduceat(letter, first) & (spans > spaced)
+
+
 class Splitter:
     """Numbers the words of a task's texts; knows units by a 64-bit hash. Of a word of more than LONG bytes the pieces get
     numbers too, and ``long`` has them by the word's."""
@@ -196,6 +225,7 @@ class Splitter:
 
         self.ranks = read_ranks(ranks_path)
         self.pattern = regex.compile(pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"(?!\S)", rf"(?![^{WHITE}])").replace(r"\s+", rf"[{WHITE}]+"))
+        self.letters = r"| ?\p{L}+|" in pattern  # such a run is a word by itself
         self.odd = regex.compile(f"[{WHITE[5:]}]")
         self.most = most
         self.forget()
@@ -231,7 +261,9 @@ class Splitter:
             self.forget()
         new: list[bytes] = []
         raw = data.tobytes()
-        if (data >= 0xC2).any() and self.odd.search(raw.decode()):  # rare white space: text by text
+        lead, after = data[:-1], data[1:]
+        may = (lead == 0xC2) & ((after == 0x85) | (after == 0xA0)) | (lead >= 0xE1) & (lead <= 0xE3)  # how such characters begin
+        if may.any() and self.odd.search(raw.decode()):  # rare white space: text by text
             lists = [self.number(raw[a:b].decode(), new) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             return anew, new, np.fromiter(itertools.chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists])
         if not len(data):
@@ -246,7 +278,16 @@ class Splitter:
         inside = at < len(self.hashes)
         fresh[inside] = self.hashes[at[inside]] != distinct[inside]
         if fresh.any():
-            lists = [self.number(raw[a:b].decode(), new) for a, b in zip(first[seen[fresh]].tolist(), (first + spans)[seen[fresh]].tolist(), strict=True)]
+            where = seen[fresh]
+            plain = plain_units(data, first)[where] if self.letters else np.zeros(len(where), bool)
+            cuts = zip(plain.tolist(), first[where].tolist(), (first + spans)[where].tolist(), strict=True)
+            get, lists = self.words.get, []
+            for p, a, b in cuts:
+                if p:
+                    k = get(word := raw[a:b])
+                    lists.append([self._new(word, new) if k is None else k])
+                else:
+                    lists.append(self.number(raw[a:b].decode(), new))
             lengths = np.array([len(x) for x in lists])
             slots = len(self.length) + np.arange(len(lists))
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(lengths) - lengths])
@@ -395,7 +436,8 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
     spark = df.sparkSession
     ready_python(spark)
-    table = merge_table(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    table, firsts = merge_table(ranks), byte_pairs(ranks)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     types = (pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -443,7 +485,8 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # one exchange serves both: it brings words together and puts a block's texts where its ids will come
     dealt = numbered_texts(texts, ranks_path, pattern, buckets, most_words).repartition(buckets, "key")
-    fold = bind(rank_map(table), lambda t: F.transform("words", lambda w: fold_merges(w, t, len(table[1]))))
+    folded_by = lambda f: bind(rank_map(table), lambda t: F.transform("words", lambda w: fold_merges(w, t, len(table[1]), f)))
+    fold = folded_by(None) if firsts is None else bind(literal(firsts, "int"), folded_by)
     folded = gathered_words(dealt, ranks_path, most_words).withColumn("words", fold)
     ids = dealt_ids(folded).withColumn("key", F.col("block") + buckets).repartition(buckets, "key")
     both = dealt.groupBy("key").cogroup(ids.groupBy("key"))

@@ -564,3 +564,34 @@ def test_anchors_at_one_place_go_no_further(spark):
     assert places and min(places.values()) > 1
     assert {r["lo"]["r1"] for r in stretches} <= {0, 1, 2}
     assert all(r["kinds"] == sum(x["anchor"] == r["anchor"] for x in stretches) for r in stretches)
+
+
+def test_byte_bpe_reads_pairs_of_bytes_and_plain_words_at_once():
+    import public_tokenizers as P
+
+    from scriptloom.llm.bpe import NO_RANK, Splitter, byte_pairs, plain_units, read_ranks, units
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = read_ranks(path)
+    pairs = byte_pairs(ranks)
+    pair = lambda a, b: ranks.get(bytes([a, b]), NO_RANK)
+    assert all(pairs[ranks[bytes([a])] << 8 | ranks[bytes([b])]] == pair(a, b) for a in range(256) for b in range(256))
+    texts = ["a", " ", " \u00e9t\u00e9 \u00d7 \u00f7a don't it's  two\n Gr\u00fc\u00dfe, x1 \u00aa \u4e2d \u0130", "\u00c3\u0083 a\u00a0b c\u0085d \u3000e", "", "\u00e9"]
+    column = pa.array(texts)
+    for _, data, offsets in blocks(column):
+        first, owner = units(data, offsets)
+        raw, found = data.tobytes(), []
+        for a, b, plain in zip(first, [*first[1:], len(raw)], plain_units(data, first), strict=True):
+            word = raw[a:b].decode()
+            assert plain == bool(re.fullmatch(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", word))
+            found.append(bool(plain))
+        assert any(found) and not all(found)
+    splitter = Splitter(path, P.PATTERN, 1000)
+    words: list[bytes] = []
+    for few in (texts[:3], texts[3:]):  # without and with rare white space
+        for _, data, offsets in blocks(pa.array(few)):
+            _, new, numbers, counts = splitter.split(data, offsets)
+            words += new
+            ends = np.cumsum(counts)
+            for text, a, b in zip(few, ends - counts, ends, strict=True):
+                assert [words[k] for k in numbers[a:b]] == [w.encode() for w in splitter.pattern.findall(text)]
