@@ -595,3 +595,24 @@ def test_byte_bpe_reads_pairs_of_bytes_and_plain_words_at_once():
             ends = np.cumsum(counts)
             for text, a, b in zip(few, ends - counts, ends, strict=True):
                 assert [words[k] for k in numbers[a:b]] == [w.encode() for w in splitter.pattern.findall(text)]
+
+
+@pytest.mark.parametrize("alone", [0, 200_000])
+def test_components_join_few_edges_in_one_task(spark, monkeypatch, alone):
+    from scriptloom.llm import components as module
+
+    written = []
+    keep = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or keep(df, name))
+    monkeypatch.setattr(module, "ALONE", alone)
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(-40, 0)] + [(rng.randrange(1, 400), rng.randrange(1, 400)) for _ in range(250)] + [(900, k) for k in range(700, 760)] + [(-99, -99)]
+    want = {i: i for e in edges if e[0] != e[1] for i in e}
+    while any(want[a] != want[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r["id"]: r["comp"] for r in got} == want
+    assert (len(written) == 1) == bool(alone)
+    assert components(spark.createDataFrame(edges[-1:], "a long, b long")).count() == 0
