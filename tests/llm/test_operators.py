@@ -616,3 +616,34 @@ def test_components_join_few_edges_in_one_task(spark, monkeypatch, alone):
     assert len(got) == len(want) and {r["id"]: r["comp"] for r in got} == want
     assert (len(written) == 1) == bool(alone)
     assert components(spark.createDataFrame(edges[-1:], "a long, b long")).count() == 0
+
+
+def test_sets_with_a_common_passage_are_dealt_by_their_rarest_shingles(spark, monkeypatch):
+    """Also one large class among them; no set is dealt again under products of signatures."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    passage = rng.sample(words, 40)
+    texts = [rng.sample(words, 30) + passage + rng.sample(words, 30) for _ in range(60)]
+    texts += [t[:k] + ["changed"] + t[k + 1 :] for t, k in zip(texts[:20], range(0, 100, 5), strict=True)]
+    texts += [texts[0][:k] + ["other"] + texts[0][k + 1 :] for k in range(40, 70)]
+    monkeypatch.setattr(near, "LOOK", 8)
+    monkeypatch.setattr(near, "dealt_again", lambda *a: pytest.fail("dealt again"))
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    want = list(range(len(texts)))
+    for _ in range(3):
+        for i, j in combinations(range(len(texts)), 2):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                want[i] = want[j] = min(want[i], want[j])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_linked_sets_share_a_rarest_shingle():
+    rng = np.random.default_rng(3)
+    for size in (5, 9, 10, 50, 333):
+        x = np.sort(rng.integers(0, 1 << 40, size, dtype=np.uint64)) << np.uint64(24)
+        frequent = np.sort(rng.choice(x, size // 2, replace=False)), rng.integers(4, 99, size // 2)
+        most = size // 5 if size >= 5 else 0
+        shorter = np.delete(x, rng.choice(size, most, replace=False))  # the least that still links
+        assert 100 * len(shorter) >= 80 * len(x)
+        assert np.intersect1d(near.rarest(x, frequent, 80), near.rarest(shorter, frequent, 80)).size
